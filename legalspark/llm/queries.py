@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
+from .language_id import identify
+from .line_dedup import similar_lines
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
+from .toxicity import toxic_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": lambda s, d: ngram_jaccard_join(table(s, d, "documents")),
+        "op2_packing": lambda s, d: pack(table(s, d, "documents")),
+        "op3_toxicity": lambda s, d: toxic_documents(table(s, d, "documents"), table(s, d, "labels")),
+        "op7_benchmark_decontamination": lambda s, d: contaminated(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op9_line_dedup": lambda s, d: similar_lines(table(s, d, "documents")),
+        "op10_language_id": lambda s, d: identify(table(s, d, "documents")),
     }
 
 

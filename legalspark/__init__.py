@@ -1 +1,13 @@
 """Spark-first engine for structured legal documents."""
+
+from .operators.citations import extract_citations, resolved_citations
+from .operators.structure import read_act, units_of
+from .operators.summary import read_summary, summaries
+from .plans.batch import audit, run_batch
+from .plans.parse import Parsed, parse_column, parse_documents, parse_files, parse_html
+from .sources.documents import html_files, links_csv, links_json
+
+__all__ = [
+    "Parsed", "audit", "extract_citations", "html_files", "links_csv", "links_json", "parse_column", "parse_documents", "parse_files", "parse_html", "read_act", "read_summary", "resolved_citations", "run_batch",
+    "summaries", "units_of",
+]

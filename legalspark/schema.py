@@ -34,5 +34,6 @@ UNIT_COLUMNS = (
 )
 
 LINKS = _struct(("url", _S), ("celex", _S), ("title", _S), ("category_hint", _S), ("source", _S))
-SUMMARY = _struct(("status", _S), ("title", _S), ("canonical_url", _S), ("last_modified", _S), ("last_modified_iso", _S), ("sections", T.ArrayType(_struct(("heading", _S), ("content", _S)))))
+SECTION = _struct(("heading", _S), ("content", _S))
+SUMMARY = _struct(("celex", _S), ("language", _S), ("title", _S), ("sections", T.ArrayType(SECTION)), ("source_url", _S), ("canonical_url", _S), ("last_modified_text", _S), ("last_modified_date", _S))
 SUMMARY_STATUSES = ("ok", "disabled", "not_found", "fetch_error", "celex_missing")

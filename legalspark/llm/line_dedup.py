@@ -5,8 +5,11 @@ least t, whether or not that line goes itself; equal sets have Jaccard 1. Words
 their bucket in a histogram of fixed size over the whole corpus, then by hash. Any order shared by all lines keeps the
 join exact, so bucket collisions cost time only. A line of s words posts its first s - ceil(t s) + 1 words (prefix
 filter); postings of one word are paired under the length filter s_a >= t s_b, the positional filter (words left after
-the shared one must reach the overlap needed) and the Hamming distance of 64-bit parity sketches, which bounds the
-symmetric difference from below. The pairs left are verified on whole word sets.
+the shared one must reach the overlap needed) and the Hamming distance of parity sketches of a line's size, which
+bounds the symmetric difference from below. Within a word's postings, pairs that pass are kept as a spanning forest only, so a
+family of many variants costs as many edges as it has members. Connected components of these edges hold every true
+pair; each component's word sets are brought together once, and each line is compared exactly with all earlier ones
+of its component until one resembles it.
 
 Null ids and null texts take no part. Lines of fewer than ``min_words`` distinct words, empty ones too, always stay.
 Rows repeated under one id are one document. Other columns are ignored; an empty table gives an empty result.
@@ -22,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .kernel import U64, Blobs, chunks, mix, signed, target_of, words
 from .shared import BROADCAST_ROWS, as_long, ids_of, shuffle_partitions, small_side, written
 
 THRESHOLD, MIN_WORDS = 0.8, 3
 BUCKET_BITS, RANGE_BITS = 18, 12
-LINES = 1 << 16
+LINES, LEVELS = 1 << 16, 7
 _RANK_BITS, _HASH_BITS = 10, 38
 
 
@@ -94,52 +98,62 @@ def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> Iterator
         yield row[f:e], number[f:e], v, first, size, mix(total + size.astype(U64))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, t: float, min_words: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed postings in the parts below ``parts``, and places of lines, by signature, in as many above."""
-    post, place = Blobs(parts), Blobs(parts)
+def levels_of(size: np.ndarray) -> np.ndarray:
+    """Sketches have 64 * 2**level bits, at least 4 / 3 a word of the line up to 4096."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / 48) - 1e-9), 0, LEVELS - 1).astype(np.int64)
+
+
+def _sketches(v: np.ndarray, first: np.ndarray, size: np.ndarray, level: int) -> np.ndarray:
+    """Parity sketches (line, 64-bit word) of the lines given by first and size."""
+    wide = 1 << level
+    line = np.repeat(np.arange(len(size)), size)
+    own = v[np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
+    out = np.zeros(len(size) * wide, U64)
+    np.bitwise_xor.at(out, line * wide + ((own >> U64(6)).astype(np.int64) & (wide - 1)), U64(1) << (own & U64(63)))
+    return out.reshape(-1, wide)
 
-    def moved(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in found:
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.ones(len(x), bool))], schema=_PACKED)
 
-    def plain(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, t: float, min_words: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed places of lines, by signature (kind -1), and postings, by word (kind: level of their sketches)."""
+    place, post = Blobs(parts), [Blobs(parts, (1 << 20) >> k) for k in range(LEVELS)]
+
+    def marked(found: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
         for x in found:
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.zeros(len(x), bool))], schema=_PACKED)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(len(x), kind, np.int32))], schema=_PACKED)
 
     for b in batches:
         ids = b.column(0).to_numpy()
         for i, _, data, offs in chunks(b.column(1)):
             for row, number, v, first, size, sig in line_sets(data, offs, ranks):
-                use = np.flatnonzero(size >= min_words)
-                if not len(use):
-                    continue
-                s = size[use]
-                yield from moved(place.add(target_of(sig[use], parts), sig[use], ids[i + row[use]], number[use].astype(np.uint32)))
-                bits = U64(1) << (v & U64(63))
-                some = np.flatnonzero(size)
-                sketch = np.zeros(len(size), U64)
-                sketch[some] = np.bitwise_xor.reduceat(bits, first[some])
-                p = s - np.ceil(t * s - 1e-9).astype(np.int64) + 1
-                k = np.repeat(np.arange(len(use)), p)
-                pos = np.arange(len(k)) - np.repeat(np.r_[0, np.cumsum(p)[:-1]], p)
-                word = mix(v[first[use][k] + pos])
-                at = use[k]
-                yield from plain(post.add(target_of(word, parts), (word & U64(0xFFFFFFFF)).astype(np.uint32), sig[at], sketch[at], size[at].astype(np.uint32), pos.astype(np.uint32)))
-    yield from moved(place.flush())
-    yield from plain(post.flush())
-
-
-_PACKED = pa.schema([*Blobs.SCHEMA, ("is_place", pa.bool_())])
+                long = np.flatnonzero(size >= min_words)
+                yield from marked(place.add(target_of(sig[long], parts), sig[long], ids[i + row[long]], number[long].astype(np.uint32)), -1)
+                level = levels_of(size[long])
+                for kind in np.unique(level):
+                    use = long[level == kind]
+                    s = size[use]
+                    p = s - np.ceil(t * s - 1e-9).astype(np.int64) + 1
+                    k = np.repeat(np.arange(len(use)), p)
+                    pos = np.arange(len(k)) - np.repeat(np.cumsum(p) - p, p)
+                    word = mix(v[first[use][k] + pos])
+                    sketch = _sketches(v, first[use], s, int(kind))
+                    yield from marked(post[kind].add(target_of(word, parts), (word & U64(0xFFFFFFFF)).astype(np.uint32), sig[use][k], s[k].astype(np.uint32), pos.astype(np.uint32), sketch[k]), int(kind))
+    yield from marked(place.flush(), -1)
+    for kind, x in enumerate(post):
+        yield from marked(x.flush(), kind)
+
+
+_PACKED = pa.schema([*Blobs.SCHEMA, ("kind", pa.int32())])
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("line", pa.int32())])
 FOUND_DDL = "a bigint, b bigint, id bigint, line int"
 
 
 def _matches(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of signatures (a, b), and places (a, id, line) of each signature."""
-    post, place = [], []
+    """Edges of signatures (a, b) that connect all pairs that pass, and places (a, id, line) of each signature."""
+    post: dict[int, list[bytes]] = {}
     for b in batches:
-        for blob, is_place in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            (place if is_place else post).append(blob)
+        for blob, kind in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            post.setdefault(kind, []).append(blob)
+    place = post.pop(-1, [])
     sig, ids, line = Blobs.read(place, U64, np.int64, np.uint32)
     del place
     for f in range(0, len(sig), 1 << 18):
@@ -147,42 +161,70 @@ def _matches(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
         n = len(sig[at])
         yield pa.RecordBatch.from_arrays([pa.array(signed(sig[at])), pa.nulls(n, pa.int64()), pa.array(ids[at]), pa.array(line[at].astype(np.int32))], schema=FOUND)
     del sig, ids, line
-    word, sig, sketch, size, pos = Blobs.read(post, np.uint32, U64, U64, np.uint32, np.uint32)
-    del post
+    if not post:
+        return
+    parts, sketches = [], {}
+    for kind in sorted(post):
+        *own, sketch = Blobs.read(post.pop(kind), np.uint32, U64, np.uint32, np.uint32, np.dtype([("w", U64, (1 << kind,))]))
+        sketches[kind] = sketch["w"]
+        parts.append([*own, np.full(len(sketch), kind, np.int8), np.arange(len(sketch))])
+    word, sig, size, pos, level, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.argsort((word.astype(U64) << U64(32)) | size, kind="stable")
     word = word[order]
-    if len(word) < 2:
-        return
     same = word[1:] == word[:-1]
     use = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
     order, word = order[use], word[use]
-    sig, sketch, size, pos = sig[order], sketch[order], size[order].astype(np.int64), pos[order].astype(np.int64)
-    order = np.lexsort((sig, (word.astype(U64) << U64(32)) | size.astype(U64)))
-    word, sig, sketch, size, pos = word[order], sig[order], sketch[order], size[order], pos[order]
-    new = np.r_[True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])]
-    word, sig, sketch, size, pos = word[new], sig[new], sketch[new], size[new], pos[new]
+    again = np.lexsort((sig[order], (word.astype(U64) << U64(32)) | size[order]))
+    order, word = order[again], word[again]
+    sig, size, pos, level, at = (x[order] for x in (sig, size.astype(np.int64), pos.astype(np.int64), level, at))
+    new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])][: len(word)])
+    word, sig, size, pos, level, at = (x[new] for x in (word, sig, size, pos, level, at))
+
+    def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Hamming distance of the sketches; the longer ones are folded."""
+        out = np.zeros(len(p), np.int64)
+        for a, b in np.unique(np.stack([level[p], level[q]]), axis=1).T:
+            mine = np.flatnonzero((level[p] == a) & (level[q] == b))
+            x, y = sketches[a][at[p[mine]]], sketches[b][at[q[mine]]]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[mine] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
     out: list[np.ndarray] = []
+    label = np.arange(len(word))  # of connected postings; every step down is an edge that is kept
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        x = label[x]
+        while not np.array_equal(y := label[x], x):
+            x = y
+        return x
+
     live, d = np.arange(len(word)), 0
     while len(live):
         d += 1
         live = live[live + d < len(word)]
         other = live + d
         live = live[(word[live] == word[other]) & (size[live] >= t * size[other] - 1e-9)]
-        x, y = live, live + d
-        for f in range(0, len(x), 1 << 20):
-            p, q = x[f : f + (1 << 20)], y[f : f + (1 << 20)]
+        for f in range(0, len(live), 1 << 20):
+            p = live[f : f + (1 << 20)]
+            q = p + d
             need = needed(t, size[p], size[q])
-            good = 1 + np.minimum(size[p] - pos[p], size[q] - pos[q]) - 1 >= need
-            good &= np.bitwise_count(sketch[p] ^ sketch[q]) <= size[p] + size[q] - 2 * need
-            p, q = sig[p[good]], sig[q[good]]
-            out.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+            good = np.minimum(size[p] - pos[p], size[q] - pos[q]) >= need
+            p, q, need = p[good], q[good], need[good]
+            x, y = roots(p), roots(q)
+            apart = np.flatnonzero(x != y)
+            apart = apart[distance(p[apart], q[apart]) <= (size[p] + size[q] - 2 * need)[apart]]
+            x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+            np.minimum.at(label, y, x)
+            out.append(np.stack([x, y]))
     if out:
-        a, b = np.concatenate(out, axis=1)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        a, b = (sig[x] for x in np.concatenate(out, axis=1))
+        a, b = signed(np.minimum(a, b)), signed(np.maximum(a, b))
         if len(a):
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            a, b = signed(a[new]), signed(b[new])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], schema=FOUND)
 
 
@@ -202,14 +244,65 @@ def _sets(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, wanted: np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(s[use]), pa.array([v[first[k] : first[k] + size[k]].tobytes() for k in use], pa.binary())], schema=SETS)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+def earliest(words_: list[np.ndarray], t: float) -> np.ndarray:
+    """For each of the sets, in order, the first earlier one of Jaccard >= t, else -1."""
+    n = len(words_)
+    size = np.array([len(w) for w in words_])
+    found = np.full(n, -1)
+    if n == 2:
+        both = np.sort(np.concatenate(words_))
+        shared = int((both[1:] == both[:-1]).sum())
+        if shared >= t * (len(both) - shared) - 1e-9:
+            found[1] = 0
+        return found
+    values, token = np.unique(np.concatenate(words_), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    first = np.r_[0, np.cumsum(size)]
+    mark = np.zeros(len(values), bool)
+    for k in range(n - 1):
+        mine = token[first[k] : first[k + 1]]
+        use = owner > k
+        owner, token_left = owner[use], token_left[use] if k else token[use]
+        if not len(owner):
+            break
+        mark[mine] = True
+        shared = np.bincount(owner[mark[token_left]], minlength=n)
+        mark[mine] = False
+        hit = np.flatnonzero((shared > 0) & (shared >= t * (size + size[k] - shared) - 1e-9))
+        if len(hit):
+            found[hit] = k
+            use = found[owner] < 0
+            owner, token_left = owner[use], token_left[use]
+    return found
+
+
+KEPT_DDL = "sig bigint, kept struct<id: bigint, line: int>"
+_KEPT = pa.schema([("sig", pa.int64()), ("kept", pa.struct([("id", pa.int64()), ("line", pa.int32())]))])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Rows (comp, id, line, sig, words) ordered by component and place."""
+    comp, held, out = None, [], []
+
+    def done() -> None:
+        found = earliest([np.frombuffer(r[3], U64) for r in held], t)
+        for k in np.flatnonzero(found >= 0):
+            out.append((held[k][2], {"id": held[found[k]][0], "line": held[found[k]][1]}))
+
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            both = np.sort(np.frombuffer(x + y, U64))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared >= t * (len(both) - shared) - 1e-9)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if c != comp and held:
+                done()
+                held = []
+            comp = c
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _KEPT, strict=True)], schema=_KEPT)
+            out = []
+    if held:
+        done()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _KEPT, strict=True)], schema=_KEPT)
 
 
 def similar_lines(docs: DataFrame, t: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,24 +311,20 @@ def similar_lines(docs: DataFrame, t: float = THRESHOLD, min_words: int = MIN_WO
     parts = shuffle_partitions(spark)
     texts = docs.select(as_long(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     ranks = word_ranks(texts.select("text"))
-    packed = texts.mapInArrow(partial(_postings, ranks=ranks, t=t, min_words=min_words, parts=parts), Blobs.DDL + ", is_place boolean")
+    packed = texts.mapInArrow(partial(_postings, ranks=ranks, t=t, min_words=min_words, parts=parts), Blobs.DDL + ", kind int")
     found = written(packed.repartitionById(parts, F.col("part")).mapInArrow(partial(_matches, t=t), FOUND_DDL), "lines")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    comps = written(connected_components(found.where("b is not null").select("a", "b")), "comps").withColumnRenamed("node", "sig")
     places = found.where("b is null").select(F.col("a").alias("sig"), "id", "line")
-    sigs = written(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sigs")
     firsts = places.groupBy("sig").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    holders = written(firsts.join(sigs, "sig").select(F.col("first.id").alias("id")).distinct(), "holders")
-    count = sigs.count()
-    wanted = ids_of(sigs, "sig") if 0 < count <= BROADCAST_ROWS else None
-    some = texts.join(small_side(holders), "id", "left_semi").select("id", "text")
-    sets = some.mapInArrow(partial(_sets, ranks=ranks, wanted=wanted, min_words=min_words), "sig bigint, words binary")
-    if wanted is None:
-        sets = sets.join(sigs, "sig", "left_semi")
-    sets = written(sets.dropDuplicates(["sig"]), "sets")
-    joined = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("words").alias("y")), "b")
-    true = joined.select("a", "b", "x", "y").mapInArrow(partial(_verified, t=t), "a bigint, b bigint")
-    both = written(true, "pairs").select(F.explode(F.array(F.struct(F.col("a").alias("sig"), F.col("b").alias("other")), F.struct(F.col("b").alias("sig"), F.col("a").alias("other")))).alias("p")).select("p.sig", "p.other")
-    near = both.join(firsts.select(F.col("sig").alias("other"), F.col("first").alias("theirs")), "other").groupBy("sig").agg(F.min("theirs").alias("theirs"))
+    members = written(firsts.join(comps, "sig").select("sig", "comp", "first"), "members")
+    count = members.count()
+    wanted = ids_of(members, "sig") if 0 < count <= BROADCAST_ROWS else None
+    holders = members.select(F.col("first.id").alias("id")).distinct()
+    some = texts.join(small_side(holders, count), "id", "left_semi").select("id", "text")
+    sets = some.mapInArrow(partial(_sets, ranks=ranks, wanted=wanted, min_words=min_words), "sig bigint, words binary").dropDuplicates(["sig"])
+    rows = members.join(sets, "sig").select("comp", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "sig", "words")
+    near = rows.repartition(parts, "comp").sortWithinPartitions("comp", "id", "line").mapInArrow(partial(_compared, t=t), KEPT_DDL)
+    near = near.withColumnRenamed("kept", "theirs")
     kept = firsts.join(near, "sig", "left").where("n > 1 or theirs is not null").select("sig", F.least("first", "theirs").alias("kept"))
     out = places.join(kept, "sig").where(F.struct("id", "line") > F.col("kept")).distinct()
     return out.select(F.col("id").alias("doc_id"), F.col("line").alias("line_no"), F.col("kept.id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line_no"))

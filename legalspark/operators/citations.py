@@ -110,9 +110,13 @@ def resolve_targets(citations: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def resolved_citations(units: DataFrame) -> DataFrame:
-    """(doc_id, pos, citations) of every unit, read in context and resolved."""
-    above = subparagraph_above(units)
-    rows = units.join(above, ["doc_id", "id"], "left").select(
+    """(doc_id, pos, citations) of every unit, read in context and resolved.
+
+    Units from the structure pass bring ``subparagraph_above``; for others the tree is walked.
+    """
+    known = "subparagraph_above" in units.columns
+    rows = units.withColumnRenamed("subparagraph_above", "above") if known else units.join(subparagraph_above(units), ["doc_id", "id"], "left")
+    rows = rows.select(
         "doc_id", "pos", F.coalesce("is_amendment_text", F.lit(False)).alias("amended"), "text", "article_number", "paragraph_number", "paragraph_index", "annex_number", "above"
     )
 

@@ -19,11 +19,12 @@ CITATION = _struct(
     ("annex_part", _S), ("treaty_code", _S), ("connective_phrase", _S), ("target_node_id", _S), ("act_year", _I), ("act_type", _S), ("act_number", _S), ("celex", _S),
 )
 
-#: What the structure pass gives for each unit; ``pos`` is its place in the document.
+#: What the structure pass gives for each unit: ``pos`` is its place in the document, ``subparagraph_above`` the index
+#: of the nearest subparagraph among its ancestors.
 RAW_UNIT = _struct(
     ("pos", _I), ("id", _S), ("type", _S), ("ref", _S), ("text", _S), ("parent_id", _S), ("source_id", _S), ("source_file", _S), ("article_number", _S), ("paragraph_number", _S), ("paragraph_index", _I),
     ("subparagraph_index", _I), ("point_label", _S), ("subpoint_label", _S), ("subsubpoint_label", _S), ("extra_labels", T.ArrayType(_S)), ("heading", _S), ("annex_number", _S), ("annex_part", _S),
-    ("recital_number", _S), ("is_amendment_text", _B),
+    ("recital_number", _S), ("is_amendment_text", _B), ("subparagraph_above", _I),
 )
 
 #: Columns of a finished unit, in the order of the output.

@@ -10,12 +10,11 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from ..schema import CITATION
+
 Ref = dict[str, Any]
 
-FIELDS = (
-    "raw_text", "citation_type", "span_start", "span_end", "article", "article_label", "paragraph", "point", "point_range", "article_range", "paragraph_range", "subparagraph_ordinal",
-    "subparagraph_index", "chapter", "section", "title_ref", "annex", "annex_part", "treaty_code", "connective_phrase", "target_node_id", "act_year", "act_type", "act_number", "celex",
-)
+FIELDS = tuple(f.name for f in CITATION.fields)
 ORDINALS = {w: k for k, w in enumerate(("first", "second", "third", "fourth", "fifth"), 1)}
 ORDINAL_OF = {k: w for w, k in ORDINALS.items()}
 TYPE_LETTER = {"regulation": "R", "directive": "L", "decision": "D"}

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"(?U)\s+"
+_BASE = r"\d{5}[A-Z]\d{4}"
+_CONSOLIDATED = rf"0{_BASE[:3]}4{_BASE[4:]}-\d{{8}}"
 
 
 def normalize_text(c: Column) -> Column:
@@ -175,12 +177,12 @@ def detect_language(html: Column) -> Column:
 def celex_in(c: Column) -> Column:
     """First CELEX number in a text, percent-signs decoded; null if there is none."""
     plain = F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
-    return F.nullif(F.upper(F.regexp_extract(plain, r"(?i)(0[0-9]{4}[A-Z][0-9]{4}-[0-9]{8}|[0-9]{5}[A-Z][0-9]{4})", 1)), F.lit(""))
+    return F.nullif(F.upper(F.regexp_extract(plain, f"(?i)({_CONSOLIDATED}|{_BASE})", 1)), F.lit(""))
 
 
 def base_celex(c: Column) -> Column:
     """Number of the act that a consolidated text goes back to; null for other numbers."""
-    return F.when(c.rlike(r"^0[0-9]{4}[A-Z][0-9]{4}-[0-9]{8}$"), F.concat(F.lit("3"), F.substring(c, 2, 9)))
+    return F.when(c.rlike(f"^{_CONSOLIDATED}$"), F.concat(F.lit("3"), F.substring(c, 2, 9)))
 
 
 def celex_candidates(explicit: Column, metas: list[Column], html: Column, source_file: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions.dom import Node, cell_text, is_list_table, is_note, lead_number
 from ..functions.text import looks_like_label, normalize_text, strip_leading_refs
 from .structure import annexes, grid_text, is_consolidated, subdivisions
 
-_HEADS = frozenset(["oj-ti-art", "oj-sti-art", "oj-doc-ti", "title-article-norm", "stitle-article-norm", *(f"oj-ti-grseq-{k}" for k in range(1, 11))])
+_HEADS = frozenset(["oj-doc-ti", *(f"{x}title-article-norm" for x in ("", "s")), *(f"oj-{x}ti-art" for x in ("", "s")), *(f"oj-ti-grseq-{k}" for k in range(1, 11))])
 _LEAST, _SHORT = 10, 5
 _PARAGRAPHS, _POINTS = ("paragraph", "subparagraph", "intro"), ("point", "subpoint", "subsubpoint")
 

@@ -482,10 +482,10 @@ def _acts(s: SparkSession, d: str) -> DataFrame:
     """An act in HTML for each order: its lines are numbered paragraphs with two points each."""
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax", "l_discount"))
     lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", pos.alias("n"))
-    point = '<table><col width="4%%"/><col width="96%%"/><tbody><tr><td><p>(a)</p></td><td><p>first %d thing</p></td></tr><tr><td><p>(b)</p></td><td><p>see Article 1(1) and part %d</p></td></tr></tbody></table>'
+    point = '<table><colgroup><col width="5%%"><col width="95%%"></colgroup><tbody><tr> <td><p>(a)</p></td> <td><p>first %d thing</p></td></tr><tr><td><p>(b)</p></td><td><p>see Article 1(1) and part %d</p></td></tr></tbody></table>'
     html = F.format_string('<div id="001.%03d"><p class="oj-normal">%d. The following %d applies:</p>' + point + "</div>", "n", "n", "l_partkey", "l_suppkey", "l_partkey")
     body = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", html.alias("h")))), lambda x: x["h"]), "").alias("body"))
-    head = '<html><body><div class="eli-subdivision" id="art_1"><p class="oj-ti-art">Article 1</p><div class="eli-title"><p class="oj-sti-art">Definitions</p></div>'
+    head = '<html><body><div id="art_1" class="eli-subdivision"><p class="oj-ti-art">Article 1</p><div class="eli-title"><p class="oj-sti-art">Definitions</p></div>'
     return body.select(_str("l_orderkey").alias("doc_id"), F.concat(_str("l_orderkey"), F.lit(".html")).alias("source_file"), F.concat(F.lit(head), "body", F.lit("</div></body></html>")).alias("html"), F.lit(None).cast("string").alias("celex"))
 
 

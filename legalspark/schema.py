@@ -11,28 +11,47 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+def _typed(spec: str, **kinds: T.DataType) -> T.StructType:
+    """Fields of a line such as ``a b:i``; s is a string, the default, i an integer, b a boolean."""
+    kinds = {"s": _S, "i": _I, "b": _B} | kinds
+    return _struct(*((n, kinds[k or "s"]) for n, _, k in (x.partition(":") for x in spec.split())))
+
+
 _INTS, _STRINGS = _struct(("start", _I), ("end", _I)), _struct(("start", _S), ("end", _S))
 
-CITATION = _struct(
-    ("raw_text", _S), ("citation_type", _S), ("span_start", _I), ("span_end", _I), ("article", _I), ("article_label", _S), ("paragraph", _I), ("point", _S), ("point_range", _STRINGS),
-    ("article_range", _INTS), ("paragraph_range", _INTS), ("subparagraph_ordinal", _S), ("subparagraph_index", _I), ("chapter", _S), ("section", _S), ("title_ref", _S), ("annex", _S),
-    ("annex_part", _S), ("treaty_code", _S), ("connective_phrase", _S), ("target_node_id", _S), ("act_year", _I), ("act_type", _S), ("act_number", _S), ("celex", _S),
-)
+CITATION = _typed(
+    """
+    raw_text citation_type span_start:i span_end:i article:i article_label
+    paragraph:i point point_range:strings article_range:ints paragraph_range:ints subparagraph_ordinal
+    subparagraph_index:i chapter section title_ref annex annex_part
+    treaty_code connective_phrase target_node_id act_year:i act_type act_number
+    celex
+    """,
+    strings=_STRINGS, ints=_INTS, list=T.ArrayType(_S),
+)
 
 #: What the structure pass gives for each unit: ``pos`` is its place in the document, ``subparagraph_above`` the index
 #: of the nearest subparagraph among its ancestors.
-RAW_UNIT = _struct(
-    ("pos", _I), ("id", _S), ("type", _S), ("ref", _S), ("text", _S), ("parent_id", _S), ("source_id", _S), ("source_file", _S), ("article_number", _S), ("paragraph_number", _S), ("paragraph_index", _I),
-    ("subparagraph_index", _I), ("point_label", _S), ("subpoint_label", _S), ("subsubpoint_label", _S), ("extra_labels", T.ArrayType(_S)), ("heading", _S), ("annex_number", _S), ("annex_part", _S),
-    ("recital_number", _S), ("is_amendment_text", _B), ("subparagraph_above", _I),
-)
+RAW_UNIT = _typed(
+    """
+    pos:i id type ref text parent_id
+    source_id source_file article_number paragraph_number paragraph_index:i subparagraph_index:i
+    point_label subpoint_label subsubpoint_label extra_labels:list heading annex_number
+    annex_part recital_number is_amendment_text:b subparagraph_above:i
+    """,
+    strings=_STRINGS, ints=_INTS, list=T.ArrayType(_S),
+)
 
 #: Columns of a finished unit, in the order of the output.
-UNIT_COLUMNS = (
-    "id", "type", "ref", "text", "parent_id", "source_id", "source_file", "article_number", "paragraph_number", "paragraph_index", "subparagraph_index", "point_label", "subpoint_label", "subsubpoint_label",
-    "extra_labels", "heading", "annex_number", "annex_part", "recital_number", "is_amendment_text", "source_xpath", "target_path", "article_heading", "children_count", "is_leaf", "is_stem", "word_count",
-    "char_count", "citations",
-)
+UNIT_COLUMNS = tuple(
+    """
+    id type ref text parent_id source_id source_file
+    article_number paragraph_number paragraph_index subparagraph_index point_label subpoint_label subsubpoint_label
+    extra_labels heading annex_number annex_part recital_number is_amendment_text source_xpath
+    target_path article_heading children_count is_leaf is_stem word_count char_count
+    citations
+    """.split()
+)
 
 LINKS = _struct(("url", _S), ("celex", _S), ("title", _S), ("category_hint", _S), ("source", _S))
 SECTION = _struct(("heading", _S), ("content", _S))

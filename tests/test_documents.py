@@ -14,7 +14,7 @@ from legalspark.plans.batch import audit, run_batch
 from legalspark.plans.parse import parse_documents, parse_html
 from legalspark.sources import documents as sources
 
-COLS = '<col width="4%"/><col width="96%"/>'
+COLS = '<colgroup><col width="5%"><col width="95%"></colgroup>'
 
 
 def rows_table(*rows, cols=COLS):
@@ -22,7 +22,7 @@ def rows_table(*rows, cols=COLS):
 
 
 def art(n, body, heading="Scope"):
-    return f'<div class="eli-subdivision" id="art_{n}"><p class="oj-ti-art">Article {n}</p><div class="eli-title"><p class="oj-sti-art">{heading}</p></div>{body}</div>'
+    return f'<div id="art_{n}" class="eli-subdivision"><p class="oj-ti-art">Article {n}</p><div class="eli-title"><p class="oj-sti-art">{heading}</p></div>{body}</div>'
 
 
 def p(text):
@@ -83,28 +83,28 @@ def test_amending_article():
 
 
 def test_recitals():
-    table = f'<div class="eli-subdivision" id="rct_1">{rows_table(("(1)", p("One") + "<ul><li>two</li></ul>" + p("three")))}</div>'
-    plain = f'<div class="eli-subdivision" id="rct_2">{p("2. First<a href=&quot;#ntr3&quot;>(3)</a> part")}{p("second part")}</div><div class="eli-subdivision" id="rct_3"></div>'
+    table = f'<div id="rct_1" class="eli-subdivision">{rows_table(("(1)", p("One") + "<ul><li>two</li></ul>" + p("three")))}</div>'
+    plain = f'<div id="rct_2" class="eli-subdivision">{p("2. First<a href=&quot;#ntr3&quot;>(3)</a> part")}{p("second part")}</div><div id="rct_3" class="eli-subdivision"></div>'
     u = read_act(table + plain)
     assert [(x["id"], x["text"]) for x in u] == [("recital-1", "One two three"), ("recital-2", "First part second part")]
 
 
 def test_consolidated():
     grid = '<div class="grid-container"><div class="grid-list-column-1"><span>(a)</span></div><div class="grid-list-column-2"><p class="norm">point text</p></div></div>'
-    html = f'<div class="eli-subdivision" id="art_2"><p class="title-article-norm">Article 2</p><p class="stitle-article-norm">Scope</p><p class="norm">Intro.</p><div class="norm"><span class="no-parag">1.  </span><div class="inline-element"><p class="norm">Body:</p>{grid}</div></div><div class="norm">dropped</div></div>'
+    html = f'<div id="art_2" class="eli-subdivision"><p class="title-article-norm">Article 2</p><p class="stitle-article-norm">Scope</p><p class="norm">Intro.</p><div class="norm"><span class="no-parag">1.  </span><div class="inline-element"><p class="norm">Body:</p>{grid}</div></div><div class="norm">dropped</div></div>'
     u = read_act(html)
     assert [(x["id"], x["text"]) for x in u] == [("art-2", ""), ("art-2.intro-1", "Intro."), ("art-2.par-1", "Body:"), ("art-2.par-1.pt-a", "point text")]
     assert u[0]["heading"] == "Scope"
 
 
 def test_consolidated_without_a_number_is_renamed():
-    html = '<div class="eli-subdivision" id="art_9"><p class="title-article-norm">A</p><div class="norm"><span class="no-parag">.</span>text <div class="grid-container"><div class="list">-</div></div></div></div>'
+    html = '<div id="art_9" class="eli-subdivision"><p class="title-article-norm">A</p><div class="norm"><span class="no-parag">.</span>text <div class="grid-container"><div class="list">-</div></div></div></div>'
     got = read_act(html)
     assert [(u["id"], u["parent_id"]) for u in got] == [("art-9", None), ("art-9_1", "art-9"), ("art-9.pt-—", "art-9")]
 
 
 def test_annex():
-    html = '<div class="eli-container" id=" anx_I "><p class="oj-doc-ti">ANNEX I</p><p class="oj-ti-grseq-1"><span>List</span><span>of things</span></p><p class="oj-ti-grseq-1">Part B of it</p>' + rows_table(("(a)", p("item one"))) + p("loose text") + "<table><tr><td>cell text</td><td>x</td></tr></table></div>"
+    html = '<div id=" anx_I " class="eli-container"><p class="oj-doc-ti">ANNEX I</p><p class="oj-ti-grseq-1"><span>List</span><span>of things</span></p><p class="oj-ti-grseq-1">Part B of it</p>' + rows_table(("(a)", p("item one"))) + p("loose text") + "<table><tr><td>cell text</td><td>x</td></tr></table></div>"
     u = read_act(html)
     assert [x["id"] for x in u] == ["annex-I", "annex-I.part-B", "annex-I.part-B.item-a", "annex-I.part-B.item-1", "annex-I.part-B.item-2"]
     assert u[0]["heading"] == "List of things" and u[2]["annex_part"] == "B"

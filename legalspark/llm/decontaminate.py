@@ -122,7 +122,7 @@ def _expanded(first: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """For each word its postings: index of the word in ``word``, and place of the posting."""
     n = first[word + 1] - first[word]
     k = np.repeat(np.arange(len(word)), n)
-    return k, np.arange(len(k)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + first[word][k]
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + first[word][k]
 
 
 def _summed(owner: np.ndarray, what: np.ndarray, width: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,14 +143,14 @@ def search(ix: Index, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nd
     step = ix.window // 2
     per = np.maximum(1, -(-count // step) - 1)
     k = np.repeat(np.arange(len(first)), per)
-    s = first[k] + step * (np.arange(len(k)) - np.repeat(np.r_[0, np.cumsum(per)[:-1]], per))
+    s = first[k] + step * (np.arange(len(k)) - np.repeat(np.cumsum(per) - per, per))
     e = np.minimum(s + ix.window, (first + count)[k])
     tried = np.flatnonzero(bound[e] - bound[s] + ix.rest >= ix.threshold - 1e-9)
     if not len(tried):
         return none, none, none, np.zeros(0), tried
     n = (e - s)[tried]
     owner = np.repeat(np.arange(len(tried)), n)
-    place = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n) + s[tried][owner]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + s[tried][owner]
     owner, place = owner[known[place]], place[known[place]]
     key = np.unique(owner * len(ix.vocabulary) + at[place])
     owner, word = key // len(ix.vocabulary), key % len(ix.vocabulary)

@@ -141,7 +141,7 @@ def grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
         sel = np.repeat(few, count)
         pos = (np.arange(len(row)) - np.repeat(first, count))[sel].astype(U64)
         part = mix(h[sel] ^ mix(pos + U64(17)))
-        at = np.r_[0, np.cumsum(count[few])[:-1]]
+        at = (np.cumsum(count[few]) - count[few])
         g, r = np.r_[g, mix(np.add.reduceat(part, at))], np.r_[r, row[first[few]]]
     return g, r
 

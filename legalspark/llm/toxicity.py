@@ -117,8 +117,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     for v in (0, 1):
         if (y == v).sum() >= 8:
             held[np.flatnonzero(y == v)[::4]] = True
-    found = [(row + i, b) for i, _, data, offs in chunks(pa.array(texts, pa.large_string())) for row, b, _ in [present(data, offs)]]
+    found = [((row + i).astype(np.int32), b.astype(np.int32)) for i, _, data, offs in chunks(pa.array(texts, pa.large_string())) for row, b, _ in [present(data, offs)]]
     row, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     use = ~held[row]
     row, b = row[use], b[use]
     p = np.bincount(b[y[row] == 1], minlength=1 << BITS) + 1.0
@@ -146,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(n) for v, n in ((0, 2 * per_class), (1, per_class))]
     texts = docs.select(as_long(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").toArrow()
-    order = np.lexsort((rows.column("text").combine_chunks().to_pandas().to_numpy(), rows.column("id").to_numpy())) if rows.num_rows else []
-    texts_, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
-    return fit([texts_[k] for k in order], [toxic[k] for k in order])
+    got = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))
+    del rows
+    return fit([text for _, text, _ in got], [y for _, _, y in got])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

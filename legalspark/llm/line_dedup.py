@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernel import U64, Blobs, chunks, mix, signed, target_of, words
+from .kernel import U64, Blobs, chunks, mix, runs, signed, target_of, words
 from .shared import BROADCAST_ROWS, as_long, ids_of, shuffle_partitions, small_side, written
 
 THRESHOLD, MIN_WORDS = 0.8, 3
 BUCKET_BITS, RANGE_BITS = 18, 12
-LINES, LEVELS = 1 << 16, 7
+LINES, LEVELS, PAIRS = 1 << 16, 7, 1 << 18
 _RANK_BITS, _HASH_BITS = 10, 38
 
 
@@ -77,7 +77,7 @@ def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> Iterator
     per = 1 + np.searchsorted(breaks, offs[1:], "left") - np.searchsorted(breaks, offs[:-1], "left")
     starts = np.sort(np.r_[offs[:-1], breaks + 1])
     row = np.repeat(np.arange(len(per)), per)
-    number = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(per)[:-1]], per)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
     bounds = np.r_[starts, len(data)]
     h, line, _, _ = words(data, bounds)
     value = (ranks[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(_HASH_BITS)) | (h & U64((1 << _HASH_BITS) - 1))
@@ -90,7 +90,7 @@ def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> Iterator
         of = (key >> U64(_RANK_BITS + _HASH_BITS)).astype(np.int64)
         v = key & U64((1 << (_RANK_BITS + _HASH_BITS)) - 1)
         size = np.bincount(of, minlength=e - f)
-        first = np.r_[0, np.cumsum(size)[:-1]]
+        first = np.cumsum(size) - size
         total = np.zeros(e - f, U64)
         some = size > 0
         if some.any():
@@ -203,24 +203,36 @@ def _matches(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
             x = y
         return x
 
-    live, d = np.arange(len(word)), 0
-    while len(live):
-        d += 1
-        live = live[live + d < len(word)]
-        other = live + d
-        live = live[(word[live] == word[other]) & (size[live] >= t * size[other] - 1e-9)]
-        for f in range(0, len(live), 1 << 20):
-            p = live[f : f + (1 << 20)]
-            q = p + d
-            need = needed(t, size[p], size[q])
-            good = np.minimum(size[p] - pos[p], size[q] - pos[q]) >= need
-            p, q, need = p[good], q[good], need[good]
-            x, y = roots(p), roots(q)
-            apart = np.flatnonzero(x != y)
-            apart = apart[distance(p[apart], q[apart]) <= (size[p] + size[q] - 2 * need)[apart]]
-            x, y = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
+    first, count = runs(word)
+    run = np.repeat(np.arange(len(first), dtype=np.int64), count) << 32
+    rest = (size - pos).astype(np.float32)
+    # in a run, sorted by size, the partners of a posting are those after it up to the greatest size the length filter allows
+    partners = np.searchsorted(run | size, run | np.floor(size / t + 1e-6).astype(np.int64), "right") - np.arange(len(word)) - 1
+    total = np.r_[0, np.cumsum(partners)]
+    share = np.float32(t / (1 + t))
+    f = 0
+    while f < len(word):
+        e = max(f + 1, int(np.searchsorted(total, total[f] + PAIRS, "right")) - 1)
+        n = partners[f:e]
+        p = np.repeat(np.arange(f, e), n)
+        q = p + 1 + np.arange(len(p)) - np.repeat(total[f:e] - total[f], n)
+        f = e
+        # the margins let a few more pairs through; whole sets are compared later
+        good = np.flatnonzero(np.minimum(rest[p], rest[q]) >= share * (size[p] + size[q]).astype(np.float32) - np.float32(1e-2))
+        p, q = p[good], q[good]
+        x, y = roots(p), roots(q)
+        apart = np.flatnonzero(x != y)
+        p, q = p[apart], q[apart]
+        apart = apart[distance(p, q) <= size[p] + size[q] - 2 * needed(t, size[p], size[q])]
+        x, y = x[apart], y[apart]
+        while len(x):  # each root is hooked to a lower one once at most: the edges are a forest
+            x, y = np.minimum(x, y), np.maximum(x, y)
             np.minimum.at(label, y, x)
-            out.append(np.stack([x, y]))
+            hooked = np.unique(y)
+            out.append(np.stack([label[hooked], hooked]))
+            x, y = roots(x), roots(y)
+            apart = x != y
+            x, y = x[apart], y[apart]
     if out:
         a, b = (sig[x] for x in np.concatenate(out, axis=1))
         a, b = signed(np.minimum(a, b)), signed(np.maximum(a, b))

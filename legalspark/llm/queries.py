@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .embedding_dedup import similar_embeddings
 from .language_id import identify
 from .line_dedup import similar_lines
+from .ngram_join import ORACLE as NGRAM_ORACLE
 from .ngram_join import ngram_jaccard_join
 from .packing import pack
 from .token_counts import section_token_counts
@@ -39,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC_ORACLE}
+    return {"op1_ngram_jaccard_join": NGRAM_ORACLE, "op5_warc": WARC_ORACLE}

@@ -117,18 +117,24 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     for v in (0, 1):
         if (y == v).sum() >= 8:
             held[np.flatnonzero(y == v)[::4]] = True
-    found = [((row + i).astype(np.int32), b.astype(np.int32)) for i, _, data, offs in chunks(pa.array(texts, pa.large_string())) for row, b, _ in [present(data, offs)]]
-    row, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found
-    use = ~held[row]
-    row, b = row[use], b[use]
-    p = np.bincount(b[y[row] == 1], minlength=1 << BITS) + 1.0
-    q = np.bincount(b[y[row] == 0], minlength=1 << BITS) + 1.0
+    column = pa.array(texts, pa.large_string())
+    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+    for i, _, data, offs in chunks(column):
+        row, b, _ = present(data, offs)
+        for counts, v in ((p, 1), (q, 0)):
+            counts += np.bincount(b[(y[row + i] == v) & ~held[row + i]], minlength=1 << BITS)
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     r[(p + q - 2 < min(LEAST_DOCS, max(1, len(y) // 10))) | (np.abs(r) < CUT)] = 0
-    use = r[b] != 0
+    # the texts are read again rather than kept as features, of which few are left
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, _, data, offs in chunks(column):
+        row, b, _ = present(data, offs, r)
+        use = ~held[row + i]
+        rows.append(row[use] + i)
+        found.append(b[use])
+    row, b = np.concatenate(rows), np.concatenate(found)
     index = np.cumsum(~held) - 1
-    weight, bias = _logistic(index[row[use]], b[use], r, y[~held])
+    weight, bias = _logistic(index[row], b, r, y[~held])
     model = Model(weight, bias, 0.0)
     test = np.flatnonzero(held) if held.any() else np.arange(len(y))
     score = np.concatenate([log_odds(model, d, o) for _, _, d, o in chunks(pa.array([texts[k] for k in test], pa.large_string()))])

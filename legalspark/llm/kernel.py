@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 4096
 U64 = np.uint64
 
@@ -176,7 +176,7 @@ class Blobs:
     SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
     DDL = "part int, blob binary"
 
-    def __init__(self, parts: int, limit: int = 1 << 20):
+    def __init__(self, parts: int, limit: int = 1 << 18):
         self.parts, self.limit, self.held, self.n = parts, limit, [], 0
 
     def add(self, target: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,7 @@ def _sketches(v: np.ndarray, first: np.ndarray, size: np.ndarray, level: int) ->
 
 def _postings(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, t: float, min_words: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Packed places of lines, by signature (kind -1), and postings, by word (kind: level of their sketches)."""
-    place, post = Blobs(parts), [Blobs(parts, (1 << 20) >> k) for k in range(LEVELS)]
+    place, post = Blobs(parts), [Blobs(parts, (1 << 18) >> k) for k in range(LEVELS)]
 
     def marked(found: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
         for x in found:

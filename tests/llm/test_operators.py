@@ -147,6 +147,32 @@ def test_a_large_group_is_found_whole(spark):
     assert kept == [0]
 
 
+def test_every_pair_of_a_large_group_is_found(spark):
+    rng = random.Random(6)
+    base = sentence(rng, 300)
+    rows = [(k, edited(rng, base, 0.01)) for k in range(300)]
+    short = [sentence(rng, 12) for _ in range(3)]
+    rows += [(1000 + k, edited(rng, short[k % 3], 0.1)) for k in range(300)]
+    want = brute_pairs(rows, 2, 0.7)
+    assert len(want) > 300 * 299 / 2
+    got = ngram_join.ngram_jaccard_join(table(spark, rows)).collect()
+    found = pairs_of(got)
+    assert found <= want
+    assert len(found) >= 0.999 * len(want)
+    assert len({(r.ids_a[0], r.ids_b[0]) for r in got}) == len(got)
+
+
+def test_pairs_of_a_bucket_are_given_whole_by_tiles(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 500)
+    monkeypatch.setattr(ngram_join, "HANDED", 1000)
+    node, n = np.arange(1, 301, dtype=np.uint64), 300
+    big = np.full(n, ngram_join.SMALL << ngram_join.SMALL_BITS, np.uint32)
+    blobs = kernel.Blobs(1)
+    out = [*blobs.add(np.zeros(n, np.int32), np.full(n, 7, np.uint64), node, np.zeros((n, ngram_join.BEFORE), np.uint32), big), *blobs.flush()]
+    got = {p for b in ngram_join._candidates(iter(out), 0.7) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert got == set(itertools.combinations(range(1, n + 1), 2))
+
+
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -173,6 +173,26 @@ def test_pairs_of_a_bucket_are_given_whole_by_tiles(monkeypatch):
     assert got == set(itertools.combinations(range(1, n + 1), 2))
 
 
+def test_groups_around_the_threshold_are_those_of_brute_force(spark):
+    """1000 variants, 5.5 % of words edited."""
+    rng = random.Random(7)
+    base = sentence(rng, 300)
+    rows = [(k, edited(rng, base, 0.055)) for k in range(1000)]
+    sets = [gram_set(x, 2) for _, x in rows]
+    place = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((1000, len(place)), np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[g] for g in s]] = 1
+    shared, size = has @ has.T, has.sum(axis=1)
+    near = shared / (size[:, None] + size[None, :] - shared) >= 0.7
+    group = np.arange(1000)
+    while (group != (least := np.where(near, group[None, :], 1000).min(axis=1))).any():
+        group = least
+    want = set(np.flatnonzero(group == np.arange(1000)).tolist())
+    assert 1 < len(want) < 500
+    assert {r.doc_id for r in ngram_join.drop_near_duplicates(table(spark, rows)).collect()} == want
+
+
 def test_sketches_bound_the_symmetric_difference():
     rng = np.random.default_rng(1)
     for _ in range(200):

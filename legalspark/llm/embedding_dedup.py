@@ -1,12 +1,13 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables (operator 4).
 
 A rotation of the principal directions is learned on a bounded sample so that the signs of the rotated coordinates
-are balanced binary codes close to the vectors (ITQ). Codes are cut into substrings, one table each; a code probes
-every table with its substring and all at Hamming distance 1. With m tables this retrieves every pair within a
-Hamming distance of 2 m - 1, and most beyond. Pairs whose codes differ in more than ``radius`` bits are discarded, the
+are balanced binary codes close to the vectors (ITQ). Codes are cut into substrings, one table each, and two codes
+meet if a substring of theirs differs in at most r bits: each side is put under all keys within half of r. With m tables
+this retrieves every pair within a Hamming distance of m (r + 1) - 1, and most beyond; r is chosen so that this is
+REACH - 1 of 64 bits at least, for tables of any size. Pairs whose codes differ in more than ``radius`` bits are discarded, the
 rest reranked by the cosine of the original vectors. Measured recall against brute force is in the tests.
 
-Substrings have about log2(rows) bits, so buckets keep their size as the table grows. Equal vectors share a code and
+Substrings have about log2(rows) bits, 22 at most, so buckets keep their size up to some 4 million rows. Equal vectors share a code and
 are paired as one, in lists. Null ids, null or empty vectors, vectors with a null, infinite or missing number, of zero
 length, or not of the most common dimension take no part. Rows repeated under one id count once. Other columns are
 ignored; an empty table gives an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import as_long, written
 
 THRESHOLD, RADIUS, SAMPLE, STEPS, BITS = 0.95, 16, 10_000, 40, 64
+REACH, WIDEST = 12, 22
 
 
 def learn(x: np.ndarray, bits: int = BITS, steps: int = STEPS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +50,18 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(np.pad(signs, ((0, 0), (0, 64 - signs.shape[1]))), axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def layout(n: int, bits: int) -> tuple[int, int, int]:
+    """Number of tables, width of their substrings and the distance within which substrings meet, for n codes."""
+    width = int(np.clip(np.ceil(np.log2(max(n, 2))), min(8, bits), WIDEST))
+    tables = -(-bits // width)
+    return tables, -(-bits // tables), max(1, -(-REACH * bits // (64 * tables)) - 1)
+
+
+def masks(width: int, reach: int) -> list[int]:
+    """All ways to flip at most ``reach`` of ``width`` bits."""
+    return [sum(1 << k for k in c) for d in range(min(reach, width) + 1) for c in combinations(range(width), d)]
+
+
 def matrix(col: pa.Array, dim: int) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -90,16 +105,21 @@ def similar_embeddings(vectors: DataFrame, t: float = THRESHOLD, radius: int = R
     mean, projection = learn(_unit(matrix(seen, dim)))
     coded = written(lists.select("node", "v").mapInArrow(partial(_coded, mean=mean, projection=projection), "node bigint, code bigint"), "codes")
     bits = projection.shape[1]
-    width = int(np.clip(np.ceil(np.log2(max(n, 2))), min(8, bits), 32))
-    tables = -(-bits // width)
-    width = -(-bits // tables)
+    tables, width, reach = layout(n, bits)
     mask = (1 << width) - 1
     part = lambda k: F.shiftrightunsigned("code", k * width).bitwiseAND(F.lit(mask).cast("bigint"))
-    own = coded.select("node", "code", F.posexplode(F.array(*(part(k) for k in range(tables)))).alias("place", "key"))
-    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << k).cast("bigint") for k in range(width)))
-    probes = own.select(F.col("node").alias("b"), F.col("code").alias("code_b"), "place", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("key")))).alias("key"))
-    near = F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= radius
-    pairs = own.join(probes, ["place", "key"]).where((F.col("node") < F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+    own = coded.select("node", "code", F.posexplode(F.array(*(part(k) for k in range(tables)))).alias("place", "own"))
+
+    def keyed(most: int, c: str) -> DataFrame:
+        flips = spark.createDataFrame([(m,) for m in masks(width, most)], f"flip_{c} bigint").coalesce(1)
+        keys = own.crossJoin(F.broadcast(flips))
+        return keys.select(F.col("node").alias(c), F.col("code").alias(f"code_{c}"), "place", F.col("own").bitwiseXOR(F.col(f"flip_{c}")).alias("key"), f"flip_{c}")
+
+    # substrings d bits apart meet once: b flips the highest of the bits, as many as it may, and a the rest
+    half = reach // 2
+    once = (F.col("flip_a") == 0) | ((F.bit_count("flip_b") == reach - half) & (F.col("flip_a") < F.expr("flip_b & -flip_b")))
+    near = (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius) & once
+    pairs = keyed(half, "a").join(keyed(reach - half, "b"), ["place", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     sides = [lists.select(F.col("node").alias(c), F.col("v").alias(f"v_{c}")) for c in "ab"]
     found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "v_a", "v_b").mapInArrow(partial(_cosines, dim=dim, t=t), "a bigint, b bigint, cosine double")
     ids = [lists.select(F.col("node").alias(c), F.col("ids").alias(f"ids_{c}")) for c in "ab"]

@@ -481,6 +481,33 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.similar_embeddings(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_substrings_meet_within_the_reach():
+    for n in (2, 700, 50_000, 3_000_000, 1 << 33):
+        tables, width, reach = embedding_dedup.layout(n, 64)
+        assert tables * width >= 64 and tables * (reach + 1) - 1 >= 11
+    low, high = embedding_dedup.masks(9, 1), embedding_dedup.masks(9, 2)
+    once = [a ^ b for a in low for b in high if a == 0 or (b.bit_count() == 2 and a < (b & -b))]
+    assert sorted(once) == sorted(embedding_dedup.masks(9, 3))
+
+
+def test_embedding_recall_with_the_tables_of_millions(spark, monkeypatch):
+    """Pairs of cosine 0.95 to 0.97, substrings as for three million rows."""
+    planned = embedding_dedup.layout
+    monkeypatch.setattr(embedding_dedup, "layout", lambda n, bits: planned(3_000_000, bits))
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((400, 96))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.97, (400, 1))
+    y = c * x + np.sqrt(1 - c * c) * z
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    got = pairs_of(embedding_dedup.similar_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got <= {(k, k + 400) for k in range(400)}
+    assert len(got) >= 0.97 * 400
+
+
 def test_itq_lowers_the_quantisation_error():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 16)) * np.linspace(3, 0.3, 16)

@@ -20,7 +20,8 @@ bigrams and as much of the answer's. A part of one word is compared by that word
 
 Null ids, null texts and texts without words match nothing, on either side; repeated rows of an id give one row; if
 an item id is repeated, the texts are items of their own and the best one counts. An empty table gives an empty
-result. Indexes of more than ``SHARD_ITEMS`` items are cut into shards, each broadcast in turn.
+result. Indexes of more than ``SHARD_ITEMS`` items are cut into shards, each broadcast in turn;
+document frequencies, average length and window are those of all items.
 """
 
 from __future__ import annotations
@@ -87,16 +88,42 @@ class Index:
     threshold: float
 
 
-def build(ids: list[int], texts: list[str], threshold: float = THRESHOLD, window: int = WINDOW) -> Index:
+@dataclass
+class Stats:
+    """What the scores need to know of all items, whatever shard they are in."""
+
+    n: int
+    vocabulary: np.ndarray
+    df: np.ndarray
+    words: int
+    filled: int
+    longest: int
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Stats:
+        h, r = _hashes(texts)
+        vocabulary, word = np.unique(h, return_inverse=True)
+        key = np.unique(word.astype(np.int64) * max(len(texts), 1) + r)
+        length = np.bincount(r, minlength=len(texts))
+        return cls(len(texts), vocabulary, np.bincount(key // max(len(texts), 1), minlength=len(vocabulary)), len(h), int((length > 0).sum()), int(length.max(initial=0)))
+
+    def __add__(self, other: Stats) -> Stats:
+        vocabulary, at = np.unique(np.r_[self.vocabulary, other.vocabulary], return_inverse=True)
+        df = np.bincount(at, np.r_[self.df, other.df], minlength=len(vocabulary)).astype(np.int64)
+        return Stats(self.n + other.n, vocabulary, df, self.words + other.words, self.filled + other.filled, max(self.longest, other.longest))
+
+
+def build(ids: list[int], texts: list[str], threshold: float = THRESHOLD, window: int = WINDOW, stats: Stats | None = None) -> Index:
     h, r = _hashes(texts)
     n = len(ids)
+    stats = stats or Stats.of(texts)
     vocabulary, word = np.unique(h, return_inverse=True)
     key, tf = np.unique(word.astype(np.int64) * max(n, 1) + r, return_counts=True)
     w, item = key // max(n, 1), key % max(n, 1)
-    df = np.bincount(w, minlength=len(vocabulary))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    df = stats.df[np.searchsorted(stats.vocabulary, vocabulary)]
+    idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
     length = np.bincount(r, minlength=n)
-    average = length[length > 0].mean() if len(h) else 1.0
+    average = stats.words / stats.filled if stats.filled else 1.0
     impact = idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / average))
     own = np.bincount(item, impact, minlength=n)
     impact /= own[item]
@@ -109,7 +136,7 @@ def build(ids: list[int], texts: list[str], threshold: float = THRESHOLD, window
     order = np.argsort(most, kind="stable")
     light = np.zeros(len(vocabulary), bool)
     light[order[np.cumsum(most[order]) < SLACK * threshold]] = True
-    while n and (length.max() * 2) > window:
+    while stats.longest * 2 > window:
         window *= 2
     parts = []
     for t in texts:
@@ -203,10 +230,15 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     shards = -(-known.count() // shard_items)
     texts = docs.select(as_long(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     found = []
-    for k in range(shards):
+
+    def shard(k: int) -> tuple[list[int], list[str]]:
         own = known if shards == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == k)
         rows = own.orderBy("item_id", "text").toArrow()
-        index = build(rows.column(0).to_pylist(), rows.column(1).to_pylist(), threshold)
+        return rows.column(0).to_pylist(), rows.column(1).to_pylist()
+
+    stats = reduce(Stats.__add__, (Stats.of(shard(k)[1]) for k in range(shards))) if shards > 1 else None
+    for k in range(shards):
+        index = build(*shard(k), threshold, stats=stats)
         found.append(texts.mapInArrow(partial(_hits, ix=index, overlap=overlap), HITS_DDL))
     if not found:
         return spark.createDataFrame([], HITS_DDL)

@@ -329,6 +329,15 @@ def test_shards_and_empty_sides(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(9)
+    items = [(k, sentence(rng, rng.choice([6, 20, 45])) + ". " + sentence(rng, 6)) for k in range(30)] + [(30, sentence(rng, 90))]
+    docs = table(spark, [(k, sentence(rng, 150) + " " + edited(rng, rng.choice(items)[1], rng.choice([0, 0.1, 0.2]))) for k in range(40)])
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = ({(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, it, shard_items=m).collect()} for m in (1000, 8))
+    assert len(one) > 15 and many == pytest.approx(one)
+
+
 # --- 2: packing -----------------------------------------------------------------------------------------------------------------
 
 

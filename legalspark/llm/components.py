@@ -29,9 +29,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = lower.select("u", "v", m.alias("m")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = written(small, "cc")
         seen = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("pmod(xxhash64(v, u), 1000003)"))).first()
-        dropped(spark, now)
+        dropped(now)
         now = after
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"no components after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -131,7 +131,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, limit: int = OPEN, id_col: s
             total = moved.join(small_side(then), "target", "left").select("window", F.coalesce("t2", "target").alias("target"), (F.col("base") + F.coalesce("b2", F.lit(0))).alias("base"))
         kept = written(total, "moved")
         if moved is not None:
-            dropped(docs.sparkSession, moved)
+            dropped(moved)
         moved = kept
         if groups == 1:
             break

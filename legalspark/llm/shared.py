@@ -14,9 +14,11 @@ BROADCAST_ROWS = 4_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only on a local master without it."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="legalspark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/") + "/legalspark"
@@ -34,12 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a scratch table that nothing needs any more."""
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def moved(df: DataFrame, name: str, *rest: DataFrame) -> DataFrame:
+    """``written``, after which the scratch tables that ``df`` was read from, and ``rest``, are removed."""
+    out = written(df, name)
+    dropped(df, *rest)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes scratch tables that nothing needs any more; other files are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = scratch_dir(spark).rpartition("://")[2].removeprefix("/")
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if own in name:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

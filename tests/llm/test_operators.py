@@ -57,8 +57,20 @@ def brute_pairs(rows, n, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= t}
 
 
-def pairs_of(rows):
-    return {tuple(sorted((a, b))) for r in rows for a in r.ids_a for b in r.ids_b if a != b}
+def classes_of(ids, pairs):
+    """{id: (least id of its class, number of links)}"""
+    up, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        links[a], links[b] = links[a] + 1, links[b] + 1
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {i: (root(i), links[i]) for i in ids}
 
 
 # --- kernel -----------------------------------------------------------------------------------------------------------
@@ -113,14 +125,21 @@ def test_components(spark):
 @pytest.mark.parametrize(("n", "t"), [(2, 0.7), (3, 0.8)])
 def test_ngram_join_against_brute_force(spark, n, t):
     rows = corpus()
-    want = brute_pairs(rows, n, t)
     got = ngram_join.ngram_jaccard_join(table(spark, rows), n, t).collect()
-    found = pairs_of(got)
-    assert found <= want
-    assert len(found) >= 0.97 * len(want)
-    sets = {i: gram_set(x, n) for i, x in rows if i is not None}
-    for r in got:
-        assert r.jaccard == pytest.approx(jaccard(sets[r.ids_a[0]], sets[r.ids_b[-1]]))
+    ids = {i for i, _ in rows if i is not None}
+    want = classes_of(ids, brute_pairs(rows, n, t))
+    assert len(got) == len(ids)
+    assert all(r.links <= want[r.doc_id][1] for r in got)
+    assert sum(r.links for r in got) >= 0.97 * sum(v for _, v in want.values())
+    assert sum(want[r.doc_id] != (r.class_id, r.links) for r in got) <= 0.05 * len(ids)
+
+
+def test_ngram_join_of_empty_tables_and_differing_repeats(spark):
+    assert ngram_join.ngram_jaccard_join(table(spark, [])).collect() == []
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (2, text), (2, "other words than these are here now"), (3, "Other words than these are here, now!"), (4, None), (4, None), (5, "")]
+    got = {tuple(r) for r in ngram_join.ngram_jaccard_join(table(spark, rows)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 4, 0), (5, 5, 0)}
 
 
 def test_ngram_join_recall_at_the_threshold(spark):
@@ -136,7 +155,7 @@ def test_ngram_join_recall_at_the_threshold(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
     want = brute_pairs(rows, 2, 0.68)
     assert len(want) == 60
-    assert len(pairs_of(ngram_join.ngram_jaccard_join(table(spark, rows), 2, 0.68).collect())) >= 58
+    assert sum(r.links for r in ngram_join.ngram_jaccard_join(table(spark, rows), 2, 0.68).collect()) >= 2 * 58
 
 
 def test_a_large_group_is_found_whole(spark):
@@ -147,30 +166,37 @@ def test_a_large_group_is_found_whole(spark):
     assert kept == [0]
 
 
-def test_every_pair_of_a_large_group_is_found(spark):
+@pytest.mark.parametrize("block", [4096, 50])
+def test_every_link_of_a_large_group_is_found(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
     rng = random.Random(6)
     base = sentence(rng, 300)
     rows = [(k, edited(rng, base, 0.01)) for k in range(300)]
     short = [sentence(rng, 12) for _ in range(3)]
     rows += [(1000 + k, edited(rng, short[k % 3], 0.1)) for k in range(300)]
-    want = brute_pairs(rows, 2, 0.7)
-    assert len(want) > 300 * 299 / 2
-    got = ngram_join.ngram_jaccard_join(table(spark, rows)).collect()
-    found = pairs_of(got)
-    assert found <= want
-    assert len(found) >= 0.999 * len(want)
-    assert len({(r.ids_a[0], r.ids_b[0]) for r in got}) == len(got)
+    pairs = brute_pairs(rows, 2, 0.7)
+    assert len(pairs) > 300 * 299 / 2
+    want = classes_of([i for i, _ in rows], pairs)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.ngram_jaccard_join(table(spark, rows)).collect()} == want
+
+
+def test_links_of_200_strongly_edited_copies(spark):
+    rng = random.Random(8)
+    base = sentence(rng, 300)
+    rows = [(k, edited(rng, base, 0.03)) for k in range(200)]
+    want = classes_of(range(200), brute_pairs(rows, 2, 0.7))
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.ngram_jaccard_join(table(spark, rows)).collect()} == want
 
 
 def test_pairs_of_a_bucket_are_given_whole_by_tiles(monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 500)
     monkeypatch.setattr(ngram_join, "HANDED", 1000)
     node, n = np.arange(1, 301, dtype=np.uint64), 300
-    big = np.full(n, ngram_join.SMALL << ngram_join.SMALL_BITS, np.uint32)
-    blobs = kernel.Blobs(1)
-    out = [*blobs.add(np.zeros(n, np.int32), np.full(n, 7, np.uint64), node, np.zeros((n, ngram_join.BEFORE), np.uint32), big), *blobs.flush()]
-    got = {p for b in ngram_join._candidates(iter(out), 0.7) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    same = ngram_join._Buckets(0.7, np.full(n, 7, np.uint64), node, np.full(n, 200), np.zeros(n, ngram_join.DIGESTS), np.arange(n))
+    got = {p for a, b in same.given(same.wide()) for p in zip(a.tolist(), b.tolist())}
     assert got == set(itertools.combinations(range(1, n + 1), 2))
+    halves = ngram_join._Buckets(0.7, np.full(n, 7, np.uint64), node, np.full(n, 200), np.zeros(n, ngram_join.DIGESTS), np.arange(n) // 150)
+    assert sum(len(a) for a, _ in halves.given(halves.wide())) == 150 * 150
 
 
 def test_groups_around_the_threshold_are_those_of_brute_force(spark):
@@ -198,7 +224,7 @@ def test_sketches_bound_the_symmetric_difference():
     for _ in range(200):
         a = set(rng.integers(0, 2**52, rng.integers(1, 600)).tolist())
         b = set(list(a)[: rng.integers(0, len(a) + 1)]) | set(rng.integers(0, 2**52, rng.integers(1, 300)).tolist())
-        x, y = (ngram_join._sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+        x, y = (ngram_join._sketches(np.array(sorted(s), np.uint64), n := np.array([len(s)]), ngram_join._words_of(n)).tobytes() for s in (a, b))
         assert ngram_join.hamming(x, y) <= len(a ^ b)
 
 

@@ -1,11 +1,15 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Components of links between nodes, their comparison in blocks, and the classes of documents that come of it.
+
+A node stands for the documents of equal content. Links are found inside components that other steps bound from above.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, small_side, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,3 +41,45 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no components after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def in_blocks(comps: DataFrame, one: DataFrame, blocks: Column) -> DataFrame:
+    """``one``(node, id, weight, ...) of the nodes of ``comps``, with their component, its number of blocks and their own.
+
+    blocks: an aggregate over a component's rows, 1 or more. Any two blocks of a component are to meet in a task, so a
+    task holds a bounded part of it, however large it is.
+    """
+    sized = comps.join(one, "node")
+    many = F.greatest(F.lit(1), F.ceil(blocks)).cast("bigint").alias("blocks")
+    return sized.join(sized.groupBy("comp").agg(many), "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """Each row once for every block that its own meets: blocks ``i`` <= ``j``."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def linked(label: np.ndarray, nodes: np.ndarray) -> None:
+    """Gives all that carry a label of one of the nodes the least of these labels."""
+    join = np.unique(label[nodes])
+    if len(join) > 1:
+        label[np.isin(label, join)] = join[0]
+
+
+def classes(of: DataFrame, one: DataFrame, found: DataFrame, several: bool) -> DataFrame:
+    """(id, class, links) of every id of ``of``(id, node); node is null for what has no content.
+
+    ``one``(node, id, weight): least id and number of documents of a node. ``found``(node, links, up): what two blocks
+    gave for a node, the weight linked to it and the least node joined to it there; with ``several`` blocks in some
+    component these labels are joined. A class is named by its least id, and without links is an id of its own.
+    """
+    nodes = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("up").alias("up"))
+    if several:
+        whole = connected_components(found.select(F.col("node").alias("a"), F.col("up").alias("b")))
+        nodes = nodes.join(whole, "node", "left").select("node", "links", F.coalesce("comp", "up").alias("up"))
+    each = written(one.select("node", "id", "weight").join(nodes, "node", "left").where("weight > 1 or links > 0").withColumn("up", F.coalesce("up", "node")), "each")
+    least = each.groupBy("up").agg(F.min("id").alias("class"))
+    told = written(each.join(least, "up").select("node", "class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")), "classes")
+    dropped(each)
+    return of.join(small_side(told), "node", "left").groupBy("id").agg(F.min(F.coalesce("class", "id")).alias("class"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))

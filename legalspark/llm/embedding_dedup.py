@@ -2,15 +2,23 @@
 
 A rotation of the principal directions is learned on a bounded sample so that the signs of the rotated coordinates
 are balanced binary codes close to the vectors (ITQ). Codes are cut into substrings, one table each, and two codes
-meet if a substring of theirs differs in at most r bits: each side is put under all keys within half of r. With m tables
-this retrieves every pair within a Hamming distance of m (r + 1) - 1, and most beyond; r is chosen so that this is
-REACH - 1 of 64 bits at least, for tables of any size. Pairs whose codes differ in more than ``radius`` bits are discarded, the
-rest reranked by the cosine of the original vectors. Measured recall against brute force is in the tests.
-
-Substrings have about log2(rows) bits, 22 at most, so buckets keep their size up to some 4 million rows. Equal vectors share a code and
-are paired as one, in lists. Null ids, null or empty vectors, vectors with a null, infinite or missing number, of zero
-length, or not of the most common dimension take no part. Rows repeated under one id count once. Other columns are
-ignored; an empty table gives an empty result.
+meet if a substring of theirs differs in at most r bits: each is put under all keys within half of r, and one of the two
+within the rest. With m tables this retrieves every pair within a Hamming distance of m (r + 1) - 1, and most beyond;
+r is chosen so that this is REACH - 1 of 64 bits at least, for tables of any size. Pairs whose codes differ in more
+than ``radius`` bits are discarded, the rest reranked by the cosine of the original vectors. Measured recall against
+brute force is in the tests.
+
+Buckets of up to ALL_PAIRS codes give their pairs. Of a larger one only links to its first code and between neighbours
+are reranked at first; once those are components, the pairs of different components in the bucket follow. At last all
+vectors of a component are compared with each other, in blocks of bounded size of which every two meet in a task. So no
+group of near copies is ever written out as pairs. The result has one row a vector: its class (least id of the vectors
+joined by chains of links) and the number of other vectors with cosine >= t, equal ones included.
+
+Substrings have about log2(rows) bits, 22 at most, so buckets keep their size up to some 4 million rows. Equal vectors
+are one node. Null ids are left out. Null or empty vectors, vectors with a null, infinite or missing number, of zero
+length, or not of the most common dimension are classes of their own. Rows repeated under one id count once; if their
+vectors differ, their links are added and the least class is given. Other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_long, written
+from .components import classes, connected_components, in_blocks, linked, meeting
+from .kernel import U64, Blobs, mix, runs, signed, target_of
+from .shared import as_long, dropped, moved, shuffle_partitions, small_side, written
 
 THRESHOLD, RADIUS, SAMPLE, STEPS, BITS = 0.95, 16, 10_000, 40, 64
 REACH, WIDEST = 12, 22
+#: Buckets beyond ALL_PAIRS codes are compared in tiles of TILE pairs; pairs are handed on by HANDED.
+ALL_PAIRS, TILE, HANDED = 64, 1 << 20, 1 << 20
+#: Vectors of a block of a component.
+BLOCK = 4096
 
 
 def learn(x: np.ndarray, bits: int = BITS, steps: int = STEPS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -78,50 +92,205 @@ def _coded(batches: Iterator[pa.RecordBatch], mean: np.ndarray, projection: np.n
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes(x, mean, projection))], names=["node", "code"])
 
 
+def _keys(batches: Iterator[pa.RecordBatch], tables: int, width: int, reach: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, code, flipped bits) of (node, code)."""
+    out = Blobs(parts)
+    flips = np.array(masks(width, reach - reach // 2), U64)
+    flipped = np.bitwise_count(flips).astype(np.uint8)
+    for b in batches:
+        every, codes_ = b.column(0).to_numpy().view(U64), b.column(1).to_numpy().view(U64)
+        for f in range(0, len(every), 1 << 12):
+            node, code = every[f : f + (1 << 12)], codes_[f : f + (1 << 12)]
+            for k in range(tables):
+                own = (code >> U64(k * width)) & U64((1 << width) - 1)
+                key = mix(((own[:, None] ^ flips[None, :]) << U64(8)) | U64(k)).ravel()
+                yield from out.add(target_of(key, parts), key, np.repeat(node, len(flips)), np.repeat(code, len(flips)), np.tile(flipped, len(node)))
+    yield from out.flush()
+
+
+class _Buckets:
+    """Rows of shared keys, ordered by key and node, and the pairs of nodes among them whose codes are near."""
+
+    def __init__(self, radius: int, reach: int, key: np.ndarray, node: np.ndarray, code: np.ndarray, flipped: np.ndarray, comp: np.ndarray | None = None):
+        order = np.lexsort((node, key))
+        count = runs(key[order])[1]
+        order = order[np.repeat(count, count) > 1]
+        self.radius, self.reach, self.key, self.node, self.code, self.flipped = radius, reach, key[order], node[order], code[order], flipped[order]
+        self.comp = None if comp is None else comp[order]
+        self.first, self.count = runs(self.key)
+
+    def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (self.flipped[x] + self.flipped[y] <= self.reach) & (np.bitwise_count(self.code[x] ^ self.code[y]) <= self.radius) & (self.node[x] != self.node[y])
+        return ok if self.comp is None else ok & (self.comp[x] != self.comp[y])
+
+    def narrow(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        live = np.flatnonzero(np.repeat(self.count, self.count) <= ALL_PAIRS)
+        for d in range(1, ALL_PAIRS):
+            live = live[live + d < len(self.key)]
+            live = live[self.key[live] == self.key[live + d]]
+            if not len(live):
+                break
+            ok = live[self.wanted(live, live + d)]
+            yield ok, ok + d
+
+    def wide(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for f, c in zip(self.first[self.count > ALL_PAIRS].tolist(), self.count[self.count > ALL_PAIRS].tolist(), strict=True):
+            across, down = min(c, 1 << 14), max(1, TILE // min(c, 1 << 14))
+            for i in range(f, f + c, down):
+                for j in range(i, f + c, across):
+                    x, y = np.arange(i, min(i + down, f + c))[:, None], np.arange(j, min(j + across, f + c))[None, :]
+                    r, s = np.nonzero(self.wanted(x, y) & (x < y))
+                    yield r + i, s + j
+
+    def stars(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rest = np.flatnonzero((np.repeat(self.count, self.count) > ALL_PAIRS) & np.r_[False, self.key[1:] == self.key[:-1]][: len(self.key)])
+        for other in (np.repeat(self.first, self.count)[rest], rest - 1):
+            ok = self.wanted(other, rest)
+            yield other[ok], rest[ok]
+
+    def given(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct pairs of nodes, the lesser first, by HANDED."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def handed() -> tuple[np.ndarray, np.ndarray]:
+            x, y = (signed(self.node[np.concatenate(v)]) for v in zip(*held, strict=True))
+            a, b = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            return a[new], b[new]
+
+        for x, y in pairs:
+            if len(x):
+                held.append((x, y))
+                n += len(x)
+            if n >= HANDED:
+                yield handed()
+                held, n = [], 0
+        if held:
+            yield handed()
+
+
+_WIDE = ["key", "node", "code", "flipped"]
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in _WIDE)])
+MET_DDL = "a bigint, b bigint, key bigint, node bigint, code bigint, flipped bigint"
+
+
+def _met(batches: Iterator[pa.RecordBatch], radius: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) to be looked at, and the rows of the buckets of over ALL_PAIRS."""
+    own = _Buckets(radius, reach, *Blobs.read([x for b in batches for x in b.column("blob").to_pylist()], U64, U64, U64, np.uint8))
+    for pairs in (own.narrow(), own.stars()):
+        for a, b in own.given(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 4], schema=MET)
+    rows = np.flatnonzero(np.repeat(own.count, own.count) > ALL_PAIRS)
+    for f in range(0, len(rows), 1 << 16):
+        at = rows[f : f + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(at), pa.int64())] * 2, *(pa.array(signed(x[at])) for x in (own.key, own.node, own.code)), pa.array(own.flipped[at].astype(np.int64))], schema=MET)
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], radius: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components of the rows (key, node, code, flipped, comp) of large buckets."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    key, node, code, flipped, comp = (c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns)
+    own = _Buckets(radius, reach, key.view(U64), node.view(U64), code.view(U64), flipped, comp)
+    for a, b in own.given(own.wide()):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _cosines(batches: Iterator[pa.RecordBatch], dim: int, t: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = _unit(matrix(b.column(2), dim)), _unit(matrix(b.column(3), dim))
-        c = (x * y).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c)], names=["a", "b", "cosine"]).filter(pa.array(c >= t))
+        c = (_unit(matrix(b.column(2), dim)) * _unit(matrix(b.column(3), dim))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(c >= t - 1e-12))
+
+
+LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("up", pa.int64())])
+
+
+def _group(held: list[pa.RecordBatch], dim: int, t: float) -> pa.RecordBatch:
+    """Links within one block (comp, i, i), or between two, of rows (comp, i, j, node, weight, block, v)."""
+    got = pa.Table.from_batches(held).combine_chunks()
+    node, weight, block = (got.column(k).to_numpy() for k in (3, 4, 5))
+    x, cross = _unit(matrix(got.column(6), dim)), got.column(1)[0].as_py() != got.column(2)[0].as_py()
+    label, total = np.arange(len(node)), np.zeros(len(node), np.int64)
+    for f in range(0, len(node), 256):
+        near = x[f : f + 256] @ x.T >= t - 1e-12
+        near &= block[f : f + 256, None] != block[None, :] if cross else np.arange(f, f + len(near))[:, None] != np.arange(len(node))[None, :]
+        total[f : f + 256] = near @ weight
+        for k in np.flatnonzero(near.any(axis=1)):
+            linked(label, np.r_[f + k, np.flatnonzero(near[k])])
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    use = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(total[use]), pa.array(least[label[use]])], schema=LINKS)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], dim: int, t: float) -> Iterator[pa.RecordBatch]:
+    now, held = None, []
+    for b in batches:
+        comp, i, j = (b.column(k).to_numpy() for k in range(3))
+        cuts = [0, *(np.flatnonzero((comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), len(comp)] if len(comp) else []
+        for f, e in zip(cuts, cuts[1:], strict=False):
+            if now != (comp[f], i[f], j[f]):
+                if held:
+                    yield _group(held, dim, t)
+                now, held = (comp[f], i[f], j[f]), []
+            held.append(b.slice(f, e - f))
+    if held:
+        yield _group(held, dim, t)
 
 
 def similar_embeddings(vectors: DataFrame, t: float = THRESHOLD, radius: int = RADIUS, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Pairs with cosine >= t, factorised: every id of ``ids_a`` with every id of ``ids_b``.
+    """(vec_id, class_id, links), one row a vector.
 
-    Equal vectors form one list; a row with ids_a = ids_b is such a list of two or more ids, cosine 1.
+    ``links`` is the number of other vectors with cosine >= t; chains of links make a class, named by its least id.
     """
     spark = vectors.sparkSession
+    parts = shuffle_partitions(spark)
     v = F.col(vector_col).cast("array<double>")
     sound = ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.select(as_long(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & sound)
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = vectors.select(as_long(id_col).alias("id"), F.when(sound, v).alias("v")).where("id is not null")
+    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
-        return spark.createDataFrame([], "ids_a array<bigint>, ids_b array<bigint>, cosine double")
+        return rows.select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links")).distinct()
     dim = common.d
-    rows = rows.where(F.size("v") == dim).withColumn("node", F.xxhash64("v"))
-    lists = written(rows.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v")), "vectors")
-    n = lists.count()
-    seen = lists.orderBy(F.xxhash64("node")).limit(sample).select("v").toArrow().column(0)
+    rows = rows.select("id", F.when(F.size("v") == dim, F.col("v")).alias("v")).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
+    of = rows.select("id", "node").distinct()
+    weight = of.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    one = written(weight.join(rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v")), "node"), "vectors")
+    n = one.count()
+    seen = one.orderBy(F.xxhash64("node")).limit(sample).select("v").toArrow().column(0)
     mean, projection = learn(_unit(matrix(seen, dim)))
-    coded = written(lists.select("node", "v").mapInArrow(partial(_coded, mean=mean, projection=projection), "node bigint, code bigint"), "codes")
-    bits = projection.shape[1]
-    tables, width, reach = layout(n, bits)
-    mask = (1 << width) - 1
-    part = lambda k: F.shiftrightunsigned("code", k * width).bitwiseAND(F.lit(mask).cast("bigint"))
-    own = coded.select("node", "code", F.posexplode(F.array(*(part(k) for k in range(tables)))).alias("place", "own"))
-
-    def keyed(most: int, c: str) -> DataFrame:
-        flips = spark.createDataFrame([(m,) for m in masks(width, most)], f"flip_{c} bigint").coalesce(1)
-        keys = own.crossJoin(F.broadcast(flips))
-        return keys.select(F.col("node").alias(c), F.col("code").alias(f"code_{c}"), "place", F.col("own").bitwiseXOR(F.col(f"flip_{c}")).alias("key"), f"flip_{c}")
-
-    # substrings d bits apart meet once: b flips the highest of the bits, as many as it may, and a the rest
-    half = reach // 2
-    once = (F.col("flip_a") == 0) | ((F.bit_count("flip_b") == reach - half) & (F.col("flip_a") < F.expr("flip_b & -flip_b")))
-    near = (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius) & once
-    pairs = keyed(half, "a").join(keyed(reach - half, "b"), ["place", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    sides = [lists.select(F.col("node").alias(c), F.col("v").alias(f"v_{c}")) for c in "ab"]
-    found = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "v_a", "v_b").mapInArrow(partial(_cosines, dim=dim, t=t), "a bigint, b bigint, cosine double")
-    ids = [lists.select(F.col("node").alias(c), F.col("ids").alias(f"ids_{c}")) for c in "ab"]
-    out = found.join(ids[0], "a").join(ids[1], "b").select("ids_a", "ids_b", "cosine")
-    return lists.where(F.size("ids") > 1).select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("cosine")).unionByName(out)
+    tables, width, reach = layout(n, projection.shape[1])
+    coded = one.select("node", "v").mapInArrow(partial(_coded, mean=mean, projection=projection), "node bigint, code bigint")
+    packed = coded.mapInArrow(partial(_keys, tables=tables, width=width, reach=reach, parts=parts), Blobs.DDL)
+    met = written(packed.repartitionById(parts, F.col("part")).mapInArrow(partial(_met, radius=radius, reach=reach), MET_DDL), "met")
+    sides = [one.select(F.col("node").alias(c), F.col("v").alias(f"v_{c}")) for c in "ab"]
+
+    def reranked(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sides[0], "a").join(sides[1], "b").select("a", "b", "v_a", "v_b")
+        return both.mapInArrow(partial(_cosines, dim=dim, t=t), "a bigint, b bigint")
+
+    near = written(reranked(met.where("a is not null").select("a", "b")), "near")
+    comps = moved(connected_components(near), "comps", near)
+    wide = met.where("a is null").select(*_WIDE)
+    if not wide.isEmpty():
+        told = wide.join(small_side(comps), "node", "left").select(*_WIDE, F.coalesce("comp", "node").alias("comp"))
+        more = written(reranked(told.repartition(parts, "key").mapInArrow(partial(_crossed, radius=radius, reach=reach), "a bigint, b bigint")), "near")
+        comps = moved(connected_components(more.union(comps.select("node", "comp"))), "comps", more, comps)
+    picked = written(in_blocks(comps, one, F.count("*") / BLOCK), "picked")
+    groups = meeting(picked).select("comp", "i", "j", "node", "weight", "block", "v")
+    found = written(groups.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(partial(_linked, dim=dim, t=t), "node bigint, links bigint, up bigint"), "links")
+    out = classes(of, one, found, not picked.where("blocks > 1").isEmpty())
+    dropped(met, comps, picked, found, one)
+    return out.select(F.col("id").alias("vec_id"), F.col("class").alias("class_id"), "links")
+
+
+#: The same by brute force, exact where the tables miss no pair.
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+e AS (SELECT DISTINCT a.vec_id, b.vec_id AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95),
+r AS (SELECT DISTINCT vec_id, vec_id AS seen FROM v UNION SELECT r.vec_id, e.other FROM r JOIN e ON e.vec_id = r.seen)
+SELECT vec_id, min(seen) AS class_id, CAST(coalesce(any_value(k.links), 0) AS BIGINT) AS links FROM r LEFT JOIN (SELECT vec_id, count(*) AS links FROM e GROUP BY vec_id) k USING (vec_id) GROUP BY vec_id
+"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
+from .embedding_dedup import ORACLE as EMBEDDING_ORACLE
 from .embedding_dedup import similar_embeddings
 from .language_id import identify
 from .line_dedup import similar_lines
@@ -40,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NGRAM_ORACLE, "op5_warc": WARC_ORACLE}
+    return {"op1_ngram_jaccard_join": NGRAM_ORACLE, "op4_embedding_near_dedup": EMBEDDING_ORACLE, "op5_warc": WARC_ORACLE}

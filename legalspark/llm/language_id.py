@@ -8,8 +8,9 @@ of those of its words, and that of a word is the sum over every way to cut it in
 The language of the greatest log-probability wins. Pieces are compared as UTF-8 bytes, with one byte for the mark at
 a word's start; every single byte is a piece too (the vocabulary's byte fallback), so no text has probability 0.
 Piece probabilities are fitted by expectation maximisation (forward-backward) on a bounded sample of labelled
-documents, PER_LANG of each language by the order of a hash of their ids. Words are runs between ASCII white space;
-one of more than SPAN bytes is scored as consecutive spans. Scoring covers whole texts of all documents.
+documents, PER_LANG of each of the LANGS commonest labels by the order of a hash of their ids. Words are runs between
+ASCII white space, of any length. Words so long or rare that their probability could leave the range of a double are
+worked out in logarithms, others as they are. Scoring covers whole texts of all documents.
 
 A word's log-probabilities do not depend on where it stands, so each distinct word is scored once a task and looked
 up after that. Null or blank texts have the language ``und`` and null scores. Rows with null or repeated ids are
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import U64, _spans_hashed, chunks, mix
-from .shared import as_long
+from .shared import as_long, small_side
 
-PER_LANG, STEPS, SPAN, CACHED, SMOOTH = 300, 4, 48, 400_000, 0.05
+PER_LANG, LANGS, STEPS, CACHED, SMOOTH = 300, 200, 4, 400_000, 0.05
+#: Words and places of a group that is worked on at once; logarithms from EXPONENT on.
+GROUP_WORDS, GROUP_PLACES, EXPONENT = 20_000, 1 << 20, 690.0
 MARK = 0x20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0]] = True
@@ -70,7 +73,6 @@ class Pieces:
     rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
     def __post_init__(self) -> None:
-        self.pieces = [p for p in self.pieces if len(p) <= 32]
         flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         e = np.cumsum([len(p) for p in self.pieces])
         s = np.r_[0, e[:-1]]
@@ -117,11 +119,16 @@ def lattice(pieces: Pieces, flat: np.ndarray, s: np.ndarray, e: np.ndarray) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def forward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha (word, place, language), each place scaled by exp(-SCALE * bytes)."""
+def logs_needed(lens: np.ndarray, p: np.ndarray) -> bool:
+    """Whether the product of single bytes could underflow for a word of these lengths."""
+    return bool(-np.log(p.min()) * int(lens.max()) > EXPONENT)
+
+
+def forward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray, logs: bool = False) -> np.ndarray:
+    """alpha (word, place, language); with ``logs`` p and alpha are logarithms."""
     w, i, j, row = edges
-    alpha = np.zeros((len(lens), int(lens.max()) + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
+    alpha = np.full((len(lens), int(lens.max()) + 1, p.shape[1]), -np.inf if logs else 0.0)
+    alpha[:, 0] = 0.0 if logs else 1.0
     order = np.lexsort((w, j))
     w, i, j, row = w[order], i[order], j[order], row[order]
     cuts = np.searchsorted(j, np.arange(alpha.shape[1] + 1))
@@ -130,15 +137,18 @@ def forward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray) -> n
         if a == b:
             continue
         first = np.flatnonzero(np.r_[True, w[a + 1 : b] != w[a : b - 1]])
-        part = alpha[w[a:b], i[a:b]] * p[row[a:b]]
-        alpha[w[a:b][first], place] = np.add.reduceat(part, first, axis=0)
+        if logs:
+            alpha[w[a:b][first], place] = np.logaddexp.reduceat(alpha[w[a:b], i[a:b]] + p[row[a:b]], first, axis=0)
+        else:
+            alpha[w[a:b][first], place] = np.add.reduceat(alpha[w[a:b], i[a:b]] * p[row[a:b]], first, axis=0)
     return alpha
 
 
-def backward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray) -> np.ndarray:
+def backward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray, logs: bool = False) -> np.ndarray:
+    """beta (word, place, language), the same from the end."""
     w, i, j, row = edges
-    beta = np.zeros((len(lens), int(lens.max()) + 1, p.shape[1]))
-    beta[np.arange(len(lens)), lens] = 1.0
+    beta = np.full((len(lens), int(lens.max()) + 1, p.shape[1]), -np.inf if logs else 0.0)
+    beta[np.arange(len(lens)), lens] = 0.0 if logs else 1.0
     order = np.lexsort((w, i))
     w, i, j, row = w[order], i[order], j[order], row[order]
     cuts = np.searchsorted(i, np.arange(beta.shape[1] + 1))
@@ -147,26 +157,38 @@ def backward(edges: tuple[np.ndarray, ...], lens: np.ndarray, p: np.ndarray) ->
         if a == b:
             continue
         first = np.flatnonzero(np.r_[True, w[a + 1 : b] != w[a : b - 1]])
-        part = beta[w[a:b], j[a:b]] * p[row[a:b]]
-        beta[w[a:b][first], place] += np.add.reduceat(part, first, axis=0)
+        if logs:
+            beta[w[a:b][first], place] = np.logaddexp.reduceat(beta[w[a:b], j[a:b]] + p[row[a:b]], first, axis=0)
+        else:
+            beta[w[a:b][first], place] = np.add.reduceat(beta[w[a:b], j[a:b]] * p[row[a:b]], first, axis=0)
     return beta
 
 
+def groups_of(lens: np.ndarray) -> Iterator[np.ndarray]:
+    """Words by length, in groups of bounded size; a longer word is a group of its own."""
+    order = np.argsort(lens, kind="stable")
+    f = 0
+    while f < len(order):
+        places = (lens[order[f : f + GROUP_WORDS]] + 1) * np.arange(1, len(order[f : f + GROUP_WORDS]) + 1)
+        n = max(1, int(np.searchsorted(places, GROUP_PLACES, "right")))
+        yield order[f : f + n]
+        f += n
+
+
 def log_probability(pieces: Pieces, flat: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray) -> np.ndarray:
     """(word, language) log of the sum over all segmentations."""
     lens = e - s
     out = np.zeros((len(s), p.shape[1]))
-    step = 20_000
-    order = np.argsort(lens, kind="stable")
-    for f in range(0, len(order), step):
-        k = order[f : f + step]
-        alpha = forward(lattice(pieces, flat, s[k], e[k]), lens[k], p)
-        out[k] = np.log(alpha[np.arange(len(k)), lens[k]])
+    for k in groups_of(lens):
+        logs = logs_needed(lens[k], p)
+        alpha = forward(lattice(pieces, flat, s[k], e[k]), lens[k], np.log(p) if logs else p, logs)
+        last = alpha[np.arange(len(k)), lens[k]]
+        out[k] = last if logs else np.log(last)
     return out
 
 
 def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with a mark before each word; first and end byte of each span of at most SPAN bytes; its row."""
+    """Bytes with a mark before each word; first and end byte of each word, the mark's included; its row."""
     space = _SPACE[data]
     start = ~space
     start[1:] &= space[:-1]
@@ -184,11 +206,6 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     flat[np.arange(len(data)) + moved] = data
     s, e = at + shift - 1, end + shift
     flat[s] = MARK
-    n = -(-(e - s) // SPAN)
-    if (n > 1).any():
-        k = np.repeat(np.arange(len(s)), n)
-        i = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-        s, e, row = s[k] + i * SPAN, np.minimum(s[k] + (i + 1) * SPAN, e[k]), row[k]
     return flat, s, e, row
 
 
@@ -220,18 +237,19 @@ def fit(texts: dict[str, list[str]], path: str | None = None, steps: int = STEPS
     for k, lang in enumerate(langs):
         flat, s, e, count = _word_counts(texts[lang])
         q = np.full((len(pieces.pieces), 1), 1.0 / len(pieces.pieces))
-        order = np.argsort(e - s, kind="stable")
-        groups = []
-        for f in range(0, len(order), 20_000):
-            w = order[f : f + 20_000]
-            groups.append((lattice(pieces, flat, s[w], e[w]), (e - s)[w], count[w]))
+        groups = [(lattice(pieces, flat, s[w], e[w]), (e - s)[w], count[w]) for w in groups_of(e - s)]
         for _ in range(steps):
             seen = np.zeros(len(q))
             for edges, lens, c in groups:
-                alpha, beta = forward(edges, lens, q), backward(edges, lens, q)
+                logs = logs_needed(lens, q)
+                by = np.log(q) if logs else q
+                alpha, beta = forward(edges, lens, by, logs), backward(edges, lens, by, logs)
                 total = alpha[np.arange(len(lens)), lens, 0]
                 w, i, j, row = edges
-                gain = alpha[w, i, 0] * q[row, 0] * beta[w, j, 0] / total[w] * c[w]
+                if logs:
+                    gain = np.exp(alpha[w, i, 0] + by[row, 0] + beta[w, j, 0] - total[w]) * c[w]
+                else:
+                    gain = alpha[w, i, 0] * q[row, 0] * beta[w, j, 0] / total[w] * c[w]
                 seen += np.bincount(row, gain, minlength=len(q))
             q = ((seen + SMOOTH) / (seen + SMOOTH).sum())[:, None]
         p[:, k] = q[:, 0]
@@ -292,11 +310,12 @@ def _identified(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a bounded sample: per_lang labelled documents of each language."""
+    """Fits on a bounded sample: per_lang labelled documents of each of the LANGS commonest languages."""
     rows = docs.select(as_long(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and lang <> ''").distinct()
-    picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= per_lang).select("id", "lang")
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
+    picked = rows.join(F.broadcast(common), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= per_lang).select("id", "lang")
     texts = docs.select(as_long(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(picked), "id").orderBy("lang", "id", "text").select("lang", "text").toArrow().to_pydict()
+    sample = texts.join(small_side(picked, per_lang * LANGS), "id").orderBy("lang", "id", "text").select("lang", "text").toArrow().to_pydict()
     out: dict[str, list[str]] = {}
     for lang, text in zip(sample["lang"], sample["text"], strict=True):
         out.setdefault(lang, []).append(text)

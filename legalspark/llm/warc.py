@@ -3,13 +3,14 @@
 ``spark.read.format("warc").load(folder)`` gives one row a record. The driver plans partitions of whole files, small
 ones together up to ``splitBytes``. Predicates on the record type and on headers are pushed down (with
 spark.sql.python.filterPushdown.enabled): a task reads a record's WARC header first, then, if a predicate asks for it,
-the HTTP header, and skips the block of a record that fails by seeking past it; its payload is never read in plain
-files, and never decoded in gzip ones. With the option ``payload`` "false" no payload is read at all.
+the HTTP header, and skips the block of a record that fails: in plain files by seeking past it, so that its payload is never
+read; in gzip ones, which have no index, by inflating and dropping it. With the option ``payload`` "false" no payload is
+kept. Payloads are the bytes of the HTTP body, without undoing a transfer or content encoding.
 
 Options: ``payload`` (true), ``splitBytes`` (64 MB), ``batchBytes`` (8 MB of payload a batch). Files end in .warc or
 .warc.gz; others are ignored, an empty folder gives no rows. Headers that are absent are null; names are matched
-without case; of repeated ones the first counts; a WARC-Block-Digest is not checked. A file cut off within a record gives the records before it;
-a record without a sound Content-Length ends its file with an error, or quietly with ``mode`` "DROPMALFORMED".
+without case; of repeated ones the first counts; a WARC-Block-Digest is not checked. A record that is cut off or has no
+sound Content-Length ends its file with an error, or quietly after the records before it with ``mode`` "DROPMALFORMED".
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
 from .shared import as_long, new_path
 
@@ -53,19 +54,21 @@ class Test:
     column: str
     kind: str
     value: Any = field(default=None)
+    negated: bool = False
 
     def __call__(self, row: dict[str, Any]) -> bool:
-        x = row.get(self.column)
-        if x is None:
-            return False
-        v = self.value
-        return {
+        x, v = row.get(self.column), self.value
+        if self.kind in ("IsNull", "EqualNullSafe"):
+            return (x == v) != self.negated
+        if x is None:  # a comparison with null is neither true nor false
+            return self.negated and self.kind == "IsNotNull"
+        return self.negated != {
             "EqualTo": lambda: x == v, "In": lambda: x in v, "GreaterThan": lambda: x > v, "GreaterThanOrEqual": lambda: x >= v, "LessThan": lambda: x < v, "LessThanOrEqual": lambda: x <= v,
             "StringStartsWith": lambda: x.startswith(v), "StringEndsWith": lambda: x.endswith(v), "StringContains": lambda: v in x, "IsNotNull": lambda: True,
         }[self.kind]()
 
 
-_KINDS = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains, IsNotNull)
+_KINDS = (EqualTo, EqualNullSafe, IsNull, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains, IsNotNull)
 
 
 def headers(lines: bytes) -> dict[bytes, str]:
@@ -83,6 +86,10 @@ def headers(lines: bytes) -> dict[bytes, str]:
     return out
 
 
+class Cut(Exception):
+    """The file ends within a record."""
+
+
 class Stream:
     """A file read in order, of which parts can be skipped."""
 
@@ -101,23 +108,37 @@ class Stream:
         return out
 
     def skip(self, n: int) -> None:
-        if self.packed:
-            while n > 0 and (got := len(self.read(min(n, 1 << 16)))):
-                n -= got
-        elif n > 0:
-            self.f.seek(n, 1)
-            self.at += n
+        """Past n bytes, of which a plain file reads but the last, to see that they are there."""
+        if not self.packed and n > 1:
+            self.f.seek(n - 1, 1)
+            self.at += n - 1
+            n = 1
+        while n > 0:
+            got = len(self.read(min(n, 1 << 16)))
+            if not got:
+                raise Cut
+            n -= got
 
     def head(self) -> bytes:
         """Lines up to an empty one."""
         out = []
-        while (line := self.line()) not in (b"\r\n", b"\n", b""):
+        while (line := self.line()) not in (b"\r\n", b"\n"):
+            if not line:
+                raise Cut
             out.append(line)
         return b"".join(out)
 
 
 def records(stream: Stream, tests: list[Test], payload: bool, strict: bool = True) -> Iterator[dict[str, Any]]:
     """Rows of the records that pass."""
+    try:
+        yield from _records(stream, tests, payload, strict)
+    except (Cut, EOFError):
+        if strict:
+            raise ValueError(f"the file ends within a record, at {stream.at}") from None
+
+
+def _records(stream: Stream, tests: list[Test], payload: bool, strict: bool) -> Iterator[dict[str, Any]]:
     early = [t for t in tests if t.column not in _HTTP]
     late = [t for t in tests if t.column in _HTTP]
     while True:
@@ -160,7 +181,7 @@ def records(stream: Stream, tests: list[Test], payload: bool, strict: bool = Tru
             continue
         body = stream.read(max(0, left))
         if len(body) < left:
-            return
+            raise Cut
         row["payload"] = None if row["null_payload"] else body
         yield row
 
@@ -176,9 +197,10 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if isinstance(f, _KINDS) and column in _HEADER:
-                self.tests.append(Test(column, type(f).__name__, getattr(f, "value", None)))
+            own = f.child if isinstance(f, Not) else f
+            column = own.attribute[0] if getattr(own, "attribute", None) and len(own.attribute) == 1 else None
+            if isinstance(own, _KINDS) and column in _HEADER:
+                self.tests.append(Test(column, type(own).__name__, getattr(own, "value", None), own is not f))
             else:
                 yield f
 
@@ -290,9 +312,11 @@ def write_pages(pages: DataFrame, folder: str, packed: bool = False, file_bytes:
     """
     from pyspark import TaskContext
 
+    place, path = fs.FileSystem.from_uri(folder)
+    place.create_dir(path, recursive=True)  # also for a table without rows
+
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, path = fs.FileSystem.from_uri(folder)
-        place.create_dir(path, recursive=True)
         part, k, n, out, name, held = TaskContext.get().partitionId(), 0, 0, None, "", 0
 
         def close() -> None:

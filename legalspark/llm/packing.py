@@ -39,6 +39,7 @@ class Packer:
     def __init__(self, capacity: int, limit: int, first: int = 0):
         self.capacity, self.limit, self.next = capacity, limit, first
         self.opened: dict[int, int] = {}
+        self.closed: list[int] = []
 
     def new(self) -> int:
         self.next += 1
@@ -47,6 +48,7 @@ class Packer:
     def place(self, doc: int | None, length: int) -> Iterator[tuple[int, int | None, int, int, int]]:
         start = 0
         while length - start >= self.capacity:
+            self.closed.append(self.next)
             yield self.new(), doc, start, self.capacity, 0
             start += self.capacity
         left = length - start
@@ -58,12 +60,15 @@ class Packer:
                 best, fill = w, f
         if best is None:
             if len(self.opened) >= self.limit:
-                del self.opened[max(self.opened, key=lambda w: (self.opened[w], -w))]
+                full = max(self.opened, key=lambda w: (self.opened[w], -w))
+                del self.opened[full]
+                self.closed.append(full)
             best, fill = self.new(), 0
         yield best, doc, start, left, fill
         self.opened[best] = fill + left
         if self.opened[best] == self.capacity:
             del self.opened[best]
+            self.closed.append(best)
 
 
 def _lengths(b: pa.RecordBatch, text: bool) -> np.ndarray:
@@ -77,16 +82,25 @@ def _lengths(b: pa.RecordBatch, text: bool) -> np.ndarray:
 
 def _packed(batches: Iterator[pa.RecordBatch], text: bool, capacity: int, limit: int) -> Iterator[pa.RecordBatch]:
     packer = Packer(capacity, limit, TaskContext.get().partitionId() << 32)
-    rows: list[tuple] = []
+    held: dict[int, list[tuple]] = {}  # rows of open windows only
+    done: list[tuple] = []
+
+    def given(rows: list[tuple], still: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + [pa.array([still] * len(rows))], schema=PLACED)
+
     for b in batches:
         for doc, n in zip(b.column(0).to_pylist(), _lengths(b, text).tolist(), strict=True):
-            rows += packer.place(doc, n)
-    # a row is open if its window is among the last ones
-    opened = set(packer.opened)
-    for f in range(0, len(rows), 100_000):
-        part = rows[f : f + 100_000]
-        cols = list(zip(*part, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([w in opened for w in cols[0]])], schema=PLACED)
+            for row in packer.place(doc, n):
+                held.setdefault(row[0], []).append(row)
+            for w in packer.closed:
+                done += held.pop(w)
+            packer.closed.clear()
+            if len(done) >= 20_000:
+                yield given(done, False)
+                done = []
+    for rows, still in ((done, False), ([r for x in held.values() for r in x], True)):
+        if rows:
+            yield given(rows, still)
 
 
 def merge(frame: pd.DataFrame, capacity: int, limit: int, last: bool) -> pd.DataFrame:

@@ -604,7 +604,8 @@ def test_warc_filters_skip_payloads(tmp_path):
     with open(path, "rb", buffering=0) as f:
         stream = Watched(f, False)
         rows = list(warc.records(stream, [warc.Test("warc_type", "EqualTo", "response"), warc.Test("target_uri", "In", ("u3", "u7"))], True))
-    assert [r["target_uri"] for r in rows] == ["u3", "u7"] and stream.got == 20_000
+    assert [r["target_uri"] for r in rows] == ["u3", "u7"]
+    assert stream.got == 20_000 + 38  # and one byte of each record skipped
 
 
 def test_warc_plan_pushes_filters_and_broken_files(spark, tmp_path):
@@ -614,12 +615,37 @@ def test_warc_plan_pushes_filters_and_broken_files(spark, tmp_path):
     assert len(left) == 1 and reader.tests[0].column == "warc_type"
     assert spark.read.format("warc").load(str(tmp_path)).count() == 0
     good = b"".join(warc.page_records(1, "u", "abc"))
+    for cut in (8, 5, len(good) - 40):
+        (tmp_path / "a.warc").write_bytes(good[:-cut])
+        for want in (["request", "response"], ["request"]):
+            with pytest.raises(Exception, match="ends within a record"):
+                spark.read.format("warc").load(str(tmp_path)).where(warc.F.col("warc_type").isin(want)).collect()
     (tmp_path / "a.warc").write_bytes(good[:-8])
-    assert spark.read.format("warc").load(str(tmp_path)).count() == 1
+    assert spark.read.format("warc").option("mode", "DROPMALFORMED").load(str(tmp_path)).count() == 1
+    (tmp_path / "a.warc").write_bytes(good)
     (tmp_path / "b.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
     with pytest.raises(Exception, match="Content-Length"):
         spark.read.format("warc").load(str(tmp_path)).count()
-    assert spark.read.format("warc").option("mode", "DROPMALFORMED").load(str(tmp_path)).count() == 1
+    assert spark.read.format("warc").option("mode", "DROPMALFORMED").load(str(tmp_path)).count() == 2
+
+
+def test_warc_of_empty_and_clashing_tables(spark):
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string, warc_type string")
+    assert warc.warc_round_trip(empty).collect() == []
+    pages = spark.createDataFrame([(1, "u", "é", "x", 9)], "page_id bigint, url string, html string, payload string, offset int")
+    ((page, url, _, size),) = warc.warc_round_trip(pages).collect()
+    assert (page, url, size) == (1, "u", 2)
+
+
+def test_warc_filters_are_those_of_sql(spark, tmp_path):
+    rows = [(k, None if k % 3 == 0 else f"u{k}", "z") for k in range(12)] + [(None, "u", "z")]
+    warc.write_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
+    warc.register(spark)
+    df = spark.read.format("warc").load(f"file://{tmp_path}/w")
+    df.write.parquet(f"{tmp_path}/p")
+    plain = spark.read.parquet(f"{tmp_path}/p")
+    for cond in ("target_uri <> 'u4'", "target_uri is null", "not (target_uri is null)", "target_uri <=> 'u4'", "not (target_uri <=> 'u4')", "target_uri not in ('u4', 'u5')", "page_id is null", "not target_uri like 'u1%'", "http_status <> 404"):
+        assert df.where(cond).count() == plain.where(cond).count(), cond
 
 
 # --- 6: URLs ----------------------------------------------------------------------------------------------------------------------------
@@ -637,11 +663,60 @@ def urls(seed=0, n=400):
 
 def test_url_model_on_held_out_urls(spark):
     known, held = urls(0), urls(1)
-    model = url_filter.fit([u.split("://")[1] for u, _ in known], [b for _, b in known])
-    rows = [(k, u, "extra") for k, (u, _) in enumerate(held)] + [(900, None, ""), (901, "  ", ""), (902, "#top", ""), (903, "http://garden.example.com/" + "a" * 5000, "")]
-    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, shown string"), model=model).collect()}
-    assert sum(got[k].accepted != b for k, (_, b) in enumerate(held)) >= 0.99 * len(held)
-    assert [got[k].accepted for k in (900, 901, 902)] == [False] * 3 and got[900].score is None and got[903].score is not None
+    labels = spark.createDataFrame([(u, b) for u, b in known] + [(None, True), ("http://x", None)], "url string, rejected boolean")
+    rows = [(k, u, "extra") for k, (u, _) in enumerate(held)] + [(900, None, ""), (901, "  ", ""), (902, "#top", ""), (903, "http://garden.example.com/" + "a" * 5000, "")] + 2 * [(904, held[1][0], "")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, shown string"), labels=labels).collect()
+    twice = [(r.score, r.accepted) for r in got if r.page_id == 904]
+    by = {r.page_id: r for r in got}
+    assert sum(by[k].accepted != b for k, (_, b) in enumerate(held)) >= 0.99 * len(held)
+    assert [by[k].accepted for k in (900, 901, 902)] == [False] * 3 and by[900].score is None and by[903].score is not None
+    assert twice == 2 * [(by[1].score, by[1].accepted)]
+
+
+def witten_bell(urls_):
+    """p(c | before) by dictionaries."""
+    n = {}
+    for u in urls_:
+        for k, c in enumerate(s := [*u.encode(), 256]):
+            for order in range(url_filter.ORDER + 1):
+                h = tuple(s[k - j] if k >= j else 300 for j in range(1, order + 1))
+                n.setdefault(h, {}).setdefault(c, 0)
+                n[h][c] += 1
+
+    def p(before, c):
+        out = 1 / 257
+        for order in range(url_filter.ORDER + 1):
+            seen = n.get(tuple(before[-j] if len(before) >= j else 300 for j in range(1, order + 1)), {})
+            if seen:
+                out = (seen.get(c, 0) + len(seen) * out) / (sum(seen.values()) + len(seen))
+        return out
+
+    return p
+
+
+def test_url_scores_are_those_of_dictionaries(spark):
+    known = urls(0, 60)
+    labels = spark.createDataFrame(known, "url string, rejected boolean")
+    model = url_filter.train(labels, labels=labels)
+    shown = [u.split("://")[1] for u, _ in known]
+    held = {r.u for r in spark.createDataFrame([(u,) for u in shown], "u string").where("pmod(xxhash64(u), 4) = 0").collect()}
+    p = [witten_bell([u for u, (_, b) in zip(shown, known) if b == v and u not in held]) for v in (False, True)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*(u for u, _ in known[:20]), "http://unseen.test/ü"])], "page_id bigint, url string")
+    for r in url_filter.judge_urls(pages, model=model).collect():
+        s = [*r.url.split("://")[1].encode(), 256]
+        want = sum(np.log(p[1](s[:k], c) / p[0](s[:k], c)) for k, c in enumerate(s)) / len(s)
+        assert r.score == pytest.approx(want)
+        assert r.accepted == (r.score < model.threshold)
+
+
+def test_url_models_keep_whole_contexts_within_their_bound(spark):
+    labels = spark.createDataFrame(urls(0, 200), "url string, rejected boolean")
+    full, small = url_filter.train(labels, labels=labels), url_filter.train(labels, labels=labels, most=400)
+    for a, b in ((full.accepted, small.accepted), (full.rejected, small.rejected)):
+        assert 0 < sum(map(len, b.pair)) <= 400 < sum(map(len, a.pair))
+        for k in range(url_filter.ORDER + 1):
+            at = np.searchsorted(a.context[k], b.context[k])
+            assert (a.context[k][at] == b.context[k]).all() and (a.total[k][at] == b.total[k]).all() and (a.kinds[k][at] == b.kinds[k]).all()
 
 
 def test_markov_probabilities_add_up_to_one():
@@ -725,6 +800,31 @@ def test_forward_sums_over_all_segmentations():
         assert np.exp(got) == pytest.approx(want)
 
 
+def test_long_and_unseen_words_have_finite_scores(monkeypatch):
+    model = language_id.fit({k: [" ".join([v] * 3000)] for k, v in LANGS.items()}, steps=2)
+    pieces = language_id.Pieces(model.pieces)
+    for text in ("漢字" * 10, "q" * 150, "ꙮ" * 700, "déjà" * 30):
+        flat = np.frombuffer(b" " + text.encode(), np.uint8)
+        one = (pieces, flat, np.array([0]), np.array([len(flat)]), model.p)
+        got = language_id.log_probability(*one)[0]
+        assert np.isfinite(got).all()
+        with np.errstate(all="ignore"):
+            monkeypatch.setattr(language_id, "EXPONENT", 1e9)
+            plain = language_id.log_probability(*one)[0]
+            monkeypatch.setattr(language_id, "EXPONENT", 690.0)
+        if np.isfinite(plain).all():
+            assert got == pytest.approx(plain)
+    assert len(LANGS) == 3
+
+
+def test_languages_of_empty_tables_clashing_columns_and_ties(spark):
+    model = language_id.fit({"b": ["aa bb"], "a": ["aa bb"]}, steps=1)
+    names = "doc_id bigint, text string, lang string, language string, margin double, id int"
+    rows = [(1, "aa", "x", "y", 0.5, 3), (1, "aa", "x", "y", 0.5, 3)]
+    assert [(r.language, r.margin) for r in language_id.identify(spark.createDataFrame(rows, names), model=model).collect()] == [("a", 0.0)] * 2
+    assert language_id.identify(spark.createDataFrame([], names)).collect() == []
+
+
 LANGS = {"en": "the and of that with from this was there when people would about", "fr": "les des une dans pour avec est nous vous être français où déjà", "de": "und der die das nicht mit für eine über schön groß müssen"}
 
 

@@ -1,7 +1,8 @@
 """Spark-first engine for structured legal documents."""
 
 from .operators.citations import extract_citations, resolved_citations
-from .operators.structure import read_act, units_of
+from .operators.scan import units_of
+from .operators.structure import read_act
 from .operators.summary import read_summary, summaries
 from .plans.batch import audit, run_batch
 from .plans.parse import Parsed, parse_column, parse_documents, parse_files, parse_html

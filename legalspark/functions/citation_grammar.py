@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 from ..schema import CITATION
@@ -15,6 +16,7 @@ from ..schema import CITATION
 Ref = dict[str, Any]
 
 FIELDS = tuple(f.name for f in CITATION.fields)
+_BLANK: Ref = dict.fromkeys(FIELDS)
 ORDINALS = {w: k for k, w in enumerate(("first", "second", "third", "fourth", "fifth"), 1)}
 ORDINAL_OF = {k: w for w, k in ORDINALS.items()}
 TYPE_LETTER = {"regulation": "R", "directive": "L", "decision": "D"}
@@ -174,16 +176,19 @@ def _act_with_article(m: re.Match[str], text: str) -> Iterator[Ref]:
     yield _law(ref | {"target_node_id": node_of(ref)} | act_of(g["kind"], g["n1"] or "", g["n2"] or "", bool(g["frame"])))
 
 
+_ITEM = _re(f"({_LABEL})" + _opt(_BRACKET(r"(\d+)")) + _opt(_BRACKET(f"({_TOKEN})")))
+_PART = _re(_ART + _PAR + _IN + _opt(_COMMA, r"point\s+\(?", _cap("after", _TOKEN), r"\)?"))
+
+
 def _articles_of_block(block: str) -> list[Ref]:
     block = re.sub(r",\s*respectively\s*$", "", " ".join(block.split()).rstrip(","), flags=re.IGNORECASE)
     if block.lower().startswith("articles "):
         body = block[len("articles ") :].strip()
         if m := re.fullmatch(r"(\d+)\s+to\s+(\d+)", body, re.IGNORECASE):
             return [{"article_range": (int(m[1]), int(m[2]))}]
-        found = re.finditer(f"({_LABEL})" + _opt(_BRACKET(r"(\d+)")) + _opt(_BRACKET(f"({_TOKEN})")), body, re.IGNORECASE)
+        found = _ITEM.finditer(body)
         return [article_of(m[1]) | {"paragraph": number_of(m[2]), "point": _low(m[3])} for m in found]
-    part = _re(_ART + _PAR + _IN + _opt(_COMMA, r"point\s+\(?", _cap("after", _TOKEN), r"\)?"))
-    found = list(part.finditer(block))
+    found = list(_PART.finditer(block))
     out = [article_of(m["art"]) | {"paragraph": number_of(m["par"]), "point": _low(m["after"] or m["inner"])} for m in found]
     if len(found) == 1 and (more := re.fullmatch(r"\s*,?\s*(?:and|or)\s+\((\d+)\)\s*", block[found[0].end() :], re.IGNORECASE)):
         out.append({k: out[0][k] for k in ("article", "article_label")} | {"paragraph": int(more[1])})
@@ -357,6 +362,29 @@ RULES: tuple[tuple[str, re.Pattern[str], Callable[[re.Match[str], str], Iterator
 )
 
 
+_KIND_WORDS = "|".join(TYPE_LETTER)
+#: Words that a text must hold for a rule to match, of each "a|b" one.
+NEEDS = {
+    "act_point_first": ("point", "article", "/", _KIND_WORDS), "block_acts": ("article", "/", _KIND_WORDS), "block_that_act": ("article", "that", _KIND_WORDS),
+    "act_article_first": ("article", "/", _KIND_WORDS), "article_acts": ("article", "/", _KIND_WORDS), "range_acts": ("articles", "/", _KIND_WORDS), "act": ("/", _KIND_WORDS),
+    "treaty_short": ("article", "tfeu|teu"), "treaty_tfeu": ("article", "treaty", "functioning"), "treaty_teu": ("article", "treaty", "union"), "charter": ("article", "charter"), "treaty": ("article", "treaty"), "protocol": ("protocol",),
+    "point_of_subparagraph": ("point", "subparagraph"), "subparagraph_point": ("point", "subparagraph"), "subparagraph_of_paragraph": ("subparagraph",),
+    "article_points": ("article", "points"), "points_of_article": ("article", "points"), "article_point": ("article", "point"), "point_of_article": ("article", "point"),
+    "article_range": ("articles",), "articles": ("articles",), "article_or": ("article", "or"), "article_two_paragraphs": ("article", "and"), "article": ("article",),
+    "points": ("points",), "paragraphs": ("paragraphs",), "paragraph_of_this_article": ("paragraph", "article"), "paragraph_range": ("paragraph",), "paragraph": ("paragraph",),
+    "two_subparagraphs": ("subparagraphs",), "article_subparagraph": ("article", "subparagraph"), "subparagraph_of_article": ("article", "subparagraph"), "subparagraph": ("subparagraph",),
+    "division": ("chapter|section|title",), "this_division": ("this", "chapter|section|title"), "section_of_annex": ("section", "annex"), "annex_part": ("annex", "part"), "two_annexes": ("annexes",), "annex": ("annex",), "relative": ("this|that|thereof",),
+}
+_WORDS = tuple(sorted({w for need in NEEDS.values() for x in need for w in x.split("|")}))
+#: Other characters that equal an ASCII letter without case.
+_ALIKE = str.maketrans("İıſK", "iisk")
+
+
+@lru_cache(1 << 12)
+def _rules_for(there: frozenset[str]) -> tuple[tuple[re.Pattern[str], Callable[[re.Match[str], str], Iterator[Ref]]], ...]:
+    return tuple((pattern, build) for name, pattern, build in RULES if all(any(w in there for w in x.split("|")) for x in NEEDS[name]))
+
+
 def connective_before(text: str, start: int) -> str | None:
     """The longest known phrase that ends the text before ``start``; letters and digits only are compared."""
     before = re.sub("[^a-z0-9]+", " ", text[max(0, start - _WINDOW) : start].lower()).strip()
@@ -365,19 +393,26 @@ def connective_before(text: str, start: int) -> str | None:
 
 def extract(text: str | None) -> list[Ref]:
     """References in order of their start, offsets in characters; those of one match keep their order."""
+    if not text:
+        return []
     taken: list[tuple[int, int]] = []
     out: list[Ref] = []
-    for _, pattern, build in RULES if text else ():
+    low = (text if text.isascii() else text.translate(_ALIKE)).lower()
+    for pattern, build in _rules_for(frozenset(w for w in _WORDS if w in low)):
         for m in sorted(pattern.finditer(text), key=lambda m: (m.start() - m.end(), m.start())):
             s, e = m.span()
             if any(s < b and a < e for a, b in taken):
                 continue
             if refs := list(build(m, text)):
                 taken.append((s, e))
-                out += [dict.fromkeys(FIELDS) | r | {"raw_text": m[0], "span_start": s, "span_end": e} for r in refs]
+                out += [_BLANK | r | {"raw_text": m[0], "span_start": s, "span_end": e} for r in refs]
     out.sort(key=lambda r: r["span_start"])
+    before: dict[int, str | None] = {}
     for r in out:
-        r["connective_phrase"] = connective_before(text or "", r["span_start"])
+        at = r["span_start"]
+        if at not in before:
+            before[at] = connective_before(text, at)
+        r["connective_phrase"] = before[at]
     return out
 
 

@@ -7,7 +7,9 @@ candidate targets are looked up among the document's units and the first that ex
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -16,35 +18,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.citation_grammar import FIELDS, extract, in_context
+from ..functions.citation_grammar import extract, in_context
 from ..schema import CITATION
+from ..sources.scratch import spread
 
 _PAIRS = ("point_range", "article_range", "paragraph_range")
 WITH_CANDIDATES = T.StructType([*CITATION.fields, T.StructField("candidates", T.ArrayType(T.StringType()))])
 
 
-def _plain(ref: dict[str, Any]) -> dict[str, Any]:
-    return ref | {k: {"start": ref[k][0], "end": ref[k][1]} if ref[k] else None for k in _PAIRS}
-
-
 def _number(text: str | None) -> int | None:
     return int(text) if text and text.isdigit() else None
 
 
+def cited(refs: list[list[dict[str, Any]]], kind: T.StructType = CITATION) -> pa.Array:
+    """Lists of references as an Arrow column, built field by field."""
+    flat = [r for x in refs for r in x]
+    fields = []
+    for f in kind.fields:
+        got = [r[f.name] for r in flat]
+        if f.name in _PAIRS and any(got):
+            got = [x and {"start": x[0], "end": x[1]} for x in got]
+        fields.append(pa.array(got, to_arrow_type(f.dataType)) if any(x is not None for x in got) else pa.nulls(len(flat), to_arrow_type(f.dataType)))
+    offsets = pa.array([0, *accumulate(map(len, refs))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=kind.names))
+
+
+def read_in_context(text: str | None, amended: bool, article: str | None, number: str | None, index: int | None, annex: str | None, above: int | None) -> list[dict[str, Any]]:
+    """The references of a unit's text as its place has them, with candidates for their targets."""
+    refs = [] if amended or not text else extract(text)
+    paragraph = _number(number)
+    return in_context(refs, text or "", article, paragraph if paragraph is not None else index, annex, above) if refs else []
+
+
 def _found(batches: Iterator[pa.RecordBatch], context: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, pos, amended, text[, article, paragraph number, paragraph index, annex, subparagraph above]) -> citations."""
-    kind = pa.list_(to_arrow_type(WITH_CANDIDATES if context else CITATION))
-    names = [*FIELDS, "candidates"] if context else FIELDS
     for b in batches:
-        out = []
-        for _, _, amended, text, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            refs = [] if amended or not text else extract(text)
-            if context:
-                article, number, index, annex, above = more
-                paragraph = _number(number)
-                refs = in_context(refs, text or "", article, paragraph if paragraph is not None else index, annex, above)
-            out.append([{k: v for k, v in _plain(r).items() if k in names} for r in refs])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["doc_id", "pos", "citations"])
+        rows = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)
+        out = [read_in_context(text, amended, *more) if context else [] if amended else extract(text) for amended, text, *more in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cited(out, WITH_CANDIDATES if context else CITATION)], names=["doc_id", "pos", "citations"])
 
 
 def extract_citations(units: DataFrame) -> DataFrame:
@@ -56,7 +67,7 @@ def extract_citations(units: DataFrame) -> DataFrame:
         return _found(batches, False)
 
     schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("citations", T.ArrayType(CITATION))])
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def exploded(citations: DataFrame) -> DataFrame:
@@ -64,26 +75,15 @@ def exploded(citations: DataFrame) -> DataFrame:
     return citations.select("doc_id", "pos", F.posexplode("citations").alias("cit_idx", "c")).select("doc_id", "pos", "cit_idx", "c.*")
 
 
-def subparagraph_above(units: DataFrame, levels: int = 12) -> DataFrame:
-    """(doc_id, id, above): index of the nearest ancestor of type subparagraph; null without one.
+def subparagraph_above(units: DataFrame) -> DataFrame:
+    """(doc_id, id, above): index of the nearest ancestor of type subparagraph; units without one are left out.
 
-    A path id names its ancestors, but parents may be renamed, so the tree is walked by keyed self-joins that stop as
-    soon as no unit has a step left.
+    A path id names its ancestors, but parents may be renamed, so the tree is walked, by a recursive query that ends
+    when no unit has a step left; its joins are keyed by document.
     """
-    up = units.select("doc_id", F.col("id").alias("up_id"), F.col("type").alias("up_type"), F.col("parent_id").alias("up_parent"), F.col("subparagraph_index").alias("up_index"))
-    level = units.where("parent_id is not null").select("doc_id", "id", F.col("parent_id").alias("at"))
-    hits = None
-    for _ in range(levels):
-        step = level.join(up, (level["doc_id"] == up["doc_id"]) & (level["at"] == up["up_id"])).select(level["doc_id"], "id", "up_type", "up_parent", "up_index")
-        hit = step.where("up_type = 'subparagraph'").select("doc_id", "id", F.col("up_index").alias("above"))
-        hits = hit if hits is None else hits.union(hit)
-        level = step.where("up_type <> 'subparagraph' and up_parent is not null").select("doc_id", "id", F.col("up_parent").alias("at"))
-    return hits
-
-
-def ancestor_by_recursion(spark: Any, view: str) -> DataFrame:
-    """The same by a recursive query, for a view of (doc_id, id, type, parent_id, subparagraph_index)."""
-    return spark.sql(
+    view = f"units_{uuid.uuid4().hex}"
+    units.select("doc_id", "id", "type", "parent_id", "subparagraph_index").createOrReplaceTempView(view)
+    return units.sparkSession.sql(
         f"""with recursive walk(doc_id, id, at, kind, idx) as (
               select u.doc_id, u.id, p.parent_id, p.type, p.subparagraph_index from {view} u join {view} p on u.doc_id = p.doc_id and u.parent_id = p.id
               union all

@@ -8,11 +8,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dom import Node, cell_text, is_list_table, is_note, lead_number, noteless, parse, squeezed
+from ..functions.dom import Node, cell_text, is_list_table, lead_number, noteless, parse, squeezed
 from ..functions.text import looks_like_label, normalize_text, strip_leading_refs
 from .structure import annexes, grid_text, is_consolidated, subdivisions
 
@@ -95,18 +94,6 @@ def _mirror_consolidated(root: Node) -> Iterator[tuple[str, str, str]]:
                 yield key, "point", squeezed(p.text())
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(doc, *r) for doc, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in html_rows(html)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["doc_id", "section", "kind", "text"])
-
-
-def html_texts(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, html) -> (doc_id, section, kind, text)."""
-    return documents.select(F.col("doc_id").cast("string"), F.col("html").cast("string")).mapInArrow(_scan, "doc_id string, section string, kind string, text string")
-
-
 def naive_segments(lines: DataFrame, least: int = _LEAST) -> DataFrame:
     """Lines as segments: references at their start cut off, short ones and mere labels left out; all native."""
     return lines.withColumn("text", strip_leading_refs(normalize_text(F.col("text")))).where((F.length("text") >= least) & ~looks_like_label(F.col("text")))
@@ -135,17 +122,36 @@ def compare_multisets(left: DataFrame, right: DataFrame, keys: list[str], value:
 
 
 def not_contained(segments: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments that are part of no text of their keys: an anti join on the keys with a containment condition."""
-    s, t = segments.alias("s"), texts.alias("t")
-    on = F.contains(F.col("t.text"), F.col("s.text"))
-    for k in keys:
-        on = on & (F.col(f"s.{k}") == F.col(f"t.{k}"))
-    return s.join(t, on, "left_anti")
+    """Segments that are part of no text of their keys; a null one is part of none.
+
+    With keys it is an anti join on them with a containment condition. Without, a segment's words between its first and
+    last space must be words of a text that holds it: the one in the fewest texts is the key of a join, whose pairs are
+    then compared. Segments without such a word, a stated few, are held against all texts.
+    """
+    if keys:
+        s, t = segments.alias("s"), texts.alias("t")
+        on = F.contains(F.col("t.text"), F.col("s.text"))
+        for k in keys:
+            on = on & (F.col(f"s.{k}") == F.col(f"t.{k}"))
+        return s.join(t, on, "left_anti")
+    asked = segments.where("text is not null").select(F.col("text").alias("segment")).distinct()
+    inner = asked.withColumn("w", F.split("segment", " ", -1)).select("segment", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("word")).where("word <> ''")
+    whole = texts.where("text is not null").select("text", F.xxhash64("text").alias("at"))
+    placed = whole.select("at", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    rarity = placed.groupBy("word").count()
+    key = inner.join(rarity, "word", "left").groupBy("segment").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)), "word")).alias("word"))
+    met = placed.join(key, "word").select("at", "segment").distinct()
+    found = met.join(whole, "at").where(F.contains("text", "segment")).select("segment")
+    bare = asked.join(key, "segment", "left_anti")
+    more = bare.join(whole, F.contains("text", "segment"), "left_semi")
+    return segments.join(found.union(more).distinct(), F.col("text") == F.col("segment"), "left_anti")
 
 
 def phantoms(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, section, text) of unit texts that are no part of their section's whole text."""
-    full = texts.where("kind = 'full'").groupBy("doc_id", "section").agg(F.concat_ws(" ", F.collect_list("text")).alias("whole"))
+    """(doc_id, section, text) of unit texts that are no part of their section's whole text, in the order of ``pos``."""
+    texts = texts if "pos" in texts.columns else texts.withColumn("pos", F.lit(0))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    full = texts.where("kind = 'full'").groupBy("doc_id", "section").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("whole"))
     own = unit_sections(units).join(full, ["doc_id", "section"], "left")
     return own.where(~F.contains(F.coalesce("whole", F.lit("")), "text")).select("doc_id", "section", "text")
 
@@ -186,5 +192,3 @@ def mirror_coverage(units: DataFrame, texts: DataFrame) -> DataFrame:
         "doc_id", total.alias("total_html_segments"), F.col("missing").alias("total_missing"), "gone", "misclassified", percent(total - F.col("missing"), total).alias("coverage_pct"), percent(total - F.col("gone"), total).alias("text_recall_pct")
     )
 
-
-__all__ = ["html_texts", "is_note", "mirror_coverage", "naive_coverage", "phantoms"]

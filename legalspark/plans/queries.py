@@ -16,7 +16,7 @@ from ..operators import citations as C
 from ..operators import coverage as V
 from ..operators import enrich as E
 from ..operators import validate as Y
-from ..operators.structure import units_of
+from ..operators.scan import units_of
 from ..operators.summary import candidates
 from .batch import audit, gate
 from .parse import parse_documents
@@ -348,7 +348,7 @@ def ordering_states(s, d):
 
 @query("select 'c' || c_custkey as id, cast(c_nationkey as bigint) as above from customer")
 def ancestor_subparagraph(s, d):
-    return C.subparagraph_above(_tree(s, d), levels=3).select("id", F.col("above").cast("bigint").alias("above"))
+    return C.subparagraph_above(_tree(s, d)).select("id", F.col("above").cast("bigint").alias("above"))
 
 
 @query("""select o_orderkey, coalesce((select 'art-' || c_custkey || '.par-1' from customer where c_custkey = o_custkey and c_custkey % 2 = 0), (select 'art-' || c_custkey from customer where c_custkey = o_custkey and c_custkey % 3 = 0)) as target from orders""")

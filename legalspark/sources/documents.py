@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..schema import LINKS
+from ..schema import LINKS, RAW_UNIT
 
 LEAST_PAGE = 1000
 CSV_SOURCE = "candidate_csv"
@@ -68,35 +68,122 @@ DOWNLOAD = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("st
 Fetch = Callable[[str], tuple[str, str]]
 
 
-def landed(links: DataFrame, fetch: Fetch, already: DataFrame | None = None, lang: str = "EN", method: str = "fetch") -> DataFrame:
-    """Links with a ``download`` struct: fetch(url) -> (html, final url), called on the executors.
-
-    Keys in ``already`` (key, html) of more than LEAST_PAGE characters are not fetched again. A page shorter than that
-    has the status content_too_short; an exception becomes navigation_error with its text. Nothing fails as a whole.
+class HttpError(Exception):
+    """A page that the server refused, with its status code."""
+
+    def __init__(self, code: int):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
+def http_fetch(url: str, timeout: float = 60) -> tuple[str, str]:
+    """(html, final url) by the standard library."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as r:  # noqa: S310 - the caller's links
+            return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), r.geturl()
+    except HTTPError as e:
+        raise HttpError(e.code) from e
+
+
+def browser_fetch(url: str, timeout: float = 60, selector_timeout: float = 30) -> tuple[str, str]:
+    """(html, final url) of the page as a browser renders it; needs playwright, else ImportError."""
+    from playwright.sync_api import sync_playwright
+
+    with sync_playwright() as p:
+        browser = p.chromium.launch(headless=True)
+        try:
+            page = browser.new_page()
+            page.goto(url, wait_until="domcontentloaded", timeout=1000 * timeout)
+            page.wait_for_selector("body", timeout=1000 * selector_timeout)
+            return page.content(), page.url
+        finally:
+            browser.close()
+
+
+#: Tried in this order by default.
+METHODS: tuple[tuple[str, Fetch], ...] = (("browser", browser_fetch), ("http", http_fetch))
+
+
+def fetched(url: str, methods: tuple[tuple[str, Fetch], ...]) -> dict[str, object]:
+    """A ``download`` struct: the first method that gives a page, or the last one's failure. Raises nothing."""
+    row: dict[str, object] = {}
+    for method, fetch in methods:
+        row = dict.fromkeys(DOWNLOAD.names) | {"ok": False, "method": method}
+        try:
+            html, final = fetch(url)
+        except ImportError as e:
+            row |= {"status": f"{method}_missing", "error": str(e)}
+        except HttpError as e:
+            row |= {"status": f"http_{e.code}", "error": str(e)}
+        except Exception as e:  # noqa: BLE001 - any failure of one page is that page's status
+            row |= {"status": "navigation_error", "error": str(e)}
+        else:
+            if len(html or "") >= LEAST_PAGE:
+                return row | {"ok": True, "status": "ok", "final_url": final, "bytes_written": len(html), "html": html}
+            row |= {"status": "content_too_short", "final_url": final}
+    return row
+
+
+def landed(links: DataFrame, fetch: Fetch | None = None, already: DataFrame | None = None, lang: str = "EN", method: str = "fetch", methods: tuple[tuple[str, Fetch], ...] | None = None) -> DataFrame:
+    """Links with a ``download`` struct; fetch(url) -> (html, final url) is called on the executors.
+
+    ``methods`` (name, fetch) are tried in order until one gives a page; ``fetch`` alone is one of them. Pages in
+    ``already`` (key, html) of more than LEAST_PAGE characters are not fetched again but taken as they are, with the
+    status already_downloaded. A page that is too short has the status content_too_short, an exception that of its
+    kind. Nothing fails as a whole.
     """
+    tried = methods or ((method, fetch),) if fetch is not None else methods or METHODS
     keyed = links.withColumns({"key": X.file_key(F.col("celex"), F.col("url")), "fetch_url": X.language_url(F.col("url"), lang)})
-    if already is not None:
-        keyed = keyed.join(already.where(F.length("html") > LEAST_PAGE).select("key").distinct(), "key", "left_anti")
+    schema = T.StructType([*keyed.schema.fields, T.StructField("download", DOWNLOAD)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for url in b.column("fetch_url").to_pylist():
-                row = dict.fromkeys(DOWNLOAD.names) | {"ok": False, "method": method}
-                try:
-                    html, final = fetch(url)
-                    if len(html or "") < LEAST_PAGE:
-                        row |= {"status": "content_too_short", "final_url": final}
-                    else:
-                        row |= {"ok": True, "status": "ok", "final_url": final, "bytes_written": len(html), "html": html}
-                except Exception as e:  # noqa: BLE001 - any failure of one page is that page's status
-                    row |= {"status": "navigation_error", "error": str(e)}
-                out.append(row)
-            from pyspark.sql.pandas.types import to_arrow_type
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        for b in batches:
+            out = [fetched(url, tried) for url in b.column("fetch_url").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, to_arrow_type(DOWNLOAD))], names=[*b.schema.names, "download"])
 
-    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("download", DOWNLOAD)]))
+    if already is None:
+        return keyed.mapInArrow(run, schema)
+    known = already.where(F.length("html") > LEAST_PAGE).groupBy("key").agg(F.first("html").alias("__html"))
+    kept = F.struct(F.lit(True).alias("ok"), F.lit("already_downloaded").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("final_url"), F.length("__html").cast("bigint").alias("bytes_written"), F.lit("cache").alias("method"), F.col("__html").alias("html"))
+    cached = keyed.join(known, "key").select(*keyed.columns, kept.alias("download"))
+    return cached.unionByName(keyed.join(known, "key", "left_anti").select(*keyed.columns).mapInArrow(run, schema))
+
+
+def relative_to(path, root: str):
+    """A path under a root folder as seen from it; others as they are."""
+    top = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(top)), F.substring(path, F.lit(len(top) + 1), F.length(path))).otherwise(path)
+
+
+def payload_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, source_file, payload) of JSON files; the file's name without its ending is the id."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("payload"))
+    return rows.select(stem(F.col("source_file")).alias("doc_id"), "source_file", "payload")
+
+
+def checked_payloads(rows: DataFrame) -> DataFrame:
+    """(doc_id, payload, fault): null, or why it is no payload: its root must be an object, its ``units`` a list."""
+    whole = F.try_parse_json("payload")
+    root, units = F.schema_of_variant(whole), F.schema_of_variant(F.try_variant_get(whole, "$.units", "variant"))
+    fault = (
+        F.when(whole.isNull(), F.lit("not JSON"))
+        .when(~F.coalesce(root.startswith("OBJECT"), F.lit(False)), F.lit("expected object root with key 'units'"))
+        .when(~F.coalesce(units.startswith("ARRAY"), F.lit(False)), F.lit("key 'units' must be a list"))
+    )
+    return rows.select("doc_id", "payload", fault.alias("fault"))
+
+
+def units_of_payloads(rows: DataFrame) -> DataFrame:
+    """(doc_id, pos, unit columns) of the sound payloads (doc_id, payload, fault)."""
+    fields = T.StructType([f for f in RAW_UNIT.fields if f.name not in ("pos", "subparagraph_above")])
+    kind = T.StructType([T.StructField("units", T.ArrayType(fields))])
+    each = rows.where("fault is null").select("doc_id", F.posexplode(F.from_json("payload", kind)["units"]).alias("pos", "u"))
+    return each.select("doc_id", "pos", "u.*")
 
 
 def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

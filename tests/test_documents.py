@@ -1,5 +1,6 @@
 """Structure, citations in context, audit, summaries, sources, batch and stream."""
 
+import dataclasses
 import json
 
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 
 from legalspark.functions.citation_grammar import extract, in_context
 from legalspark.functions.dom import parse
-from legalspark.operators import coverage, validate
+from legalspark.operators import citations, coverage, scan, validate
 from legalspark.operators.structure import expected_counts, read_act
 from legalspark.operators.summary import read_summary, summaries
+from legalspark.plans import batch
 from legalspark.plans.batch import audit, run_batch
 from legalspark.plans.parse import parse_documents, parse_html
 from legalspark.sources import documents as sources
@@ -246,10 +248,93 @@ def test_batch(spark):
             raise OSError("no route")
         return ("short", url) if "short" in url else (page, url)
 
-    already = spark.createDataFrame([("32000R0001", "y" * 2000)], "key string, html string")
+    already = spark.createDataFrame([("32000R0001", page)], "key string, html string")
     got = {r.url[:12]: r for r in run_batch(links, fetch, already).collect()}
-    assert len(got) == 3 and got["http://x/leg"].passed and got["http://x/leg"].download.final_url.endswith("/EN/TXT/?uri=CELEX:1")
+    assert len(got) == 4 and got["http://x/leg"].passed and got["http://x/leg"].download.final_url.endswith("/EN/TXT/?uri=CELEX:1")
     assert got["http://short"].notes == "download: content_too_short" and got["http://fails"].download.error == "no route" and not got["http://fails"].passed
+    assert got["http://have"].passed and got["http://have"].download.method == "cache" and got["http://have"].notes == "already_downloaded"
+    payloads = spark.createDataFrame([("32016R0679", '{"units": {}}'), ("32000R0001", '{"units": []}')], "doc_id string, payload string")
+    again = {r.key: r for r in run_batch(links.where("celex is not null"), fetch, already, parsed_before=payloads).collect()}
+    assert again["32016R0679"].notes == "payload: key 'units' must be a list" and not again["32016R0679"].passed
+    assert again["32000R0001"].gone > 0 and not again["32000R0001"].passed
+    assert all(r.passed for r in run_batch(links.where("celex is not null"), fetch, already, parsed_before=payloads, force=True).collect())
+
+
+def test_a_document_that_cannot_be_read_fails_alone(spark, monkeypatch):
+    deep = "<div>" * 4000 + DOC
+    docs = spark.createDataFrame([("good", "", DOC, None), ("deep", "", deep, None)], "doc_id string, source_file string, html string, celex string")
+    parsed = parse_documents(docs)
+    bad = {r.doc_id for r in parsed.errors.collect()}
+    assert bad <= {"deep"} and {r.doc_id for r in parsed.units.select("doc_id").distinct().collect()} == {"good", "deep"} - bad
+    assert [r["kind"] for r in scan.document_rows(5, "", True, True)] == ["error"]
+
+
+def test_download_falls_back_and_reports(spark):
+    page = DOC + "<p>" + "x" * 1000 + "</p>"
+
+    def first(url):
+        raise ImportError("no browser")
+
+    def second(url):
+        if "gone" in url:
+            raise sources.HttpError(404)
+        return page, url
+
+    links = spark.createDataFrame([("http://a", "32016R0679"), ("http://gone", None)], "url string, celex string")
+    rows = {r.url: r for r in batch.download_and_parse(links, methods=(("browser", first), ("http", second))).collect()}
+    assert rows["http://a"].status == "ok" and '"units":[{' in rows["http://a"].payload
+    assert rows["http://gone"].status == "http_404" and rows["http://gone"].payload is None
+    assert sources.fetched("u", (("browser", first),))["status"] == "browser_missing"
+
+
+def test_payloads_are_guarded_and_audited(spark):
+    docs = spark.createDataFrame([(k, "", DOC, None) for k in "abcd"], "doc_id string, source_file string, html string, celex string")
+    own = parse_documents(docs).payload().where("doc_id = 'a'").first().payload
+    payloads = spark.createDataFrame([("a", own), ("b", "[1]"), ("c", '{"units": 3}'), ("d", "{")], "doc_id string, payload string")
+    got = {r.doc_id: r for r in batch.audit_payloads(docs, payloads, "mirror").collect()}
+    assert got["a"].passed and got["a"].fault is None and got["a"].gone == 0
+    assert [got[k].fault for k in "bcd"] == ["expected object root with key 'units'", "key 'units' must be a list", "not JSON"]
+    assert not any(got[k].passed for k in "bcd")
+
+
+def test_report_lists_what_is_lost(spark):
+    docs = spark.createDataFrame([("a", "", DOC, None)], "doc_id string, source_file string, html string, celex string")
+    whole = parse_documents(docs)
+    assert batch.report(whole, "mirror").first().missing_texts is None
+    short = dataclasses.replace(whole, raw=whole.raw.where("type <> 'point'"))
+    row = batch.report(short, "mirror").first()
+    assert row.missing_texts and {x.how for x in row.missing_texts} == {"gone"} and row.coverage_pct == round(row.coverage_pct, 1) and not row.passed
+    assert batch.report(short, "naive").first().missing_texts
+
+
+def test_targets_in_the_pass_equal_those_by_joins(spark):
+    docs = spark.createDataFrame([("a", "", DOC, None), ("b", "", DOC.replace("Article 1(1)", "Article 9(9)"), None)], "doc_id string, source_file string, html string, celex string")
+    raw = parse_documents(docs).raw
+    joined = citations.resolved_citations(raw.drop("citations")).collect()
+    assert {(r.doc_id, r.pos): r.citations for r in joined} == {(r.doc_id, r.pos): r.citations for r in raw.select("doc_id", "pos", "citations").collect()}
+    walked = citations.resolved_citations(raw.drop("citations", "subparagraph_above")).collect()
+    assert sorted(map(str, walked)) == sorted(map(str, joined))
+
+
+def test_schemas_of_what_is_written(spark, tmp_path):
+
+
+    from legalspark import schema
+    from legalspark.plans.cli import main
+
+    assert main(["schemas", str(tmp_path), "--check"]) == 1
+    assert main(["schemas", str(tmp_path)]) == 0 and main(["schemas", str(tmp_path), "--check"]) == 0
+    (tmp_path / "payload.schema.json").write_text("{}")
+    assert schema.check_schemas(str(tmp_path)) == ["payload.schema.json"]
+    payload = json.loads(parse_html(spark, DOC).payload().first().payload)
+    defs = schema.json_schemas()["payload.schema.json"]["$defs"]
+    assert list(payload) == schema.json_schemas()["payload.schema.json"]["required"]
+    for unit in payload["units"]:
+        assert sorted(unit) == sorted(defs["Unit"]["required"])
+        assert all(sorted(c) == sorted(defs["Citation"]["required"]) for c in unit["citations"])
+    assert schema.MODELS["Citation"]["citation_type"].metadata["enum"] == ["internal", "eu_legislation"]
+    about = payload["document_metadata"]
+    assert sorted(about) == sorted(defs["DocumentMetadata"]["required"])
 
 
 def test_files_cli_and_stream(spark, tmp_path):
@@ -261,7 +346,18 @@ def test_files_cli_and_stream(spark, tmp_path):
     (folder / "one.html").write_text(DOC, encoding="utf-8")
     assert [r.doc_id for r in sources.html_files(spark, str(folder)).collect()] == ["one"]
     assert main(["coverage", str(folder), "--oracle", "mirror", "--report", str(tmp_path / "r")]) == 0
-    assert main(["parse", str(folder), "--out", str(tmp_path / "o"), "--validation", str(tmp_path / "v")]) == 0
+    assert main(["parse", str(folder), "--out", str(tmp_path / "o"), "--validation", str(tmp_path / "v"), "--coverage", "--celex", "32016R0679"]) == 0
+    assert spark.read.json(str(tmp_path / "v")).first().counts_expected.articles == 2
+    payload = spark.read.json(str(tmp_path / "o")).first().payload
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "one.json").write_text(payload)
+    assert main(["coverage", str(folder), "--oracle", "mirror", "--json", str(tmp_path / "json")]) == 0
+    (tmp_path / "json" / "one.json").write_text("[]")
+    assert main(["coverage", str(folder), "--json", str(tmp_path / "json"), "--verbose"]) == 1
+    (tmp_path / "links.jsonl").write_text('{"url": "http://x", "celex": "c1"}\n{"url": "http://y", "celex": "c2"}\n')
+    spark.createDataFrame([("c1", DOC + "x" * 1000), ("c2", "<p>nothing</p>" * 100)], "key string, html string").write.parquet(str(tmp_path / "pages"))
+    assert main(["batch", "--links-file", str(tmp_path / "links.jsonl"), "--limit", "1", "--oracle", "mirror", "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "b"), "--snapshot-tag", "t 1"]) == 0
+    assert spark.read.json(str(tmp_path / "b" / "snapshots" / "t_1" / "results")).first().key == "c1"
     query = parse_stream(html_stream(spark, str(folder)), str(tmp_path / "s"), str(tmp_path / "c"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s" / "units")).count() == 7

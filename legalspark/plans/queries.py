@@ -7,11 +7,13 @@ out the answer from the keys.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.citation_grammar import CONNECTIVES
 from ..operators import citations as C
 from ..operators import coverage as V
 from ..operators import enrich as E
@@ -73,12 +75,6 @@ def normalize_label(s, d):
     return table(s, d, "part").select("p_partkey", r["label"].alias("label"), r["kind"].alias("kind"), r["quoted"].alias("quoted"))
 
 
-@query("select doc_id, cast(i as bigint) as line_no, md5(line) as h from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where length(line) >= 40")
-def line_segments(s, d):
-    lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    return lines.where(F.length("line") >= 40).select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.md5("line").alias("h"))
-
-
 @query("select o_orderkey, 'Whereas ' || o_orderpriority || ' continued here' as text from orders")
 def naive_segments(s, d):
     raw = F.concat(_str("o_orderkey"), F.lit(". ("), F.chr(97 + F.col("o_orderkey") % 26), F.lit(") — Whereas "), "o_orderpriority", F.lit("   continued here"))
@@ -198,16 +194,67 @@ def cite_spans(s, d):
     return _cast(_cited(t, text, "c_custkey"), c_custkey="bigint", span_start="bigint", span_end="bigint", raw_text="string")
 
 
-_PHRASES = ("in accordance with", "pursuant to", "as laid down in", "under", "by way of derogation from")
+_LISTED = ", ".join(f"'{x}'" for x in CONNECTIVES)
 
 
-@query("select o_orderkey, case o_orderkey % 5 when 0 then 'in accordance with' when 1 then 'pursuant to' when 2 then 'as laid down in' when 3 then 'under' else 'by way of derogation from' end as connective_phrase from orders")
+@query(f"select o_orderkey, list_extract([{_LISTED}], cast(1 + o_orderkey % {len(CONNECTIVES)} as int)) as connective_phrase from orders")
 def connective_phrase(s, d):
-    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    text = F.concat(F.lit("Acting "), "o_orderpriority", F.lit(" — "), phrase, F.lit(" Article 5(1)"))
+    phrase = F.element_at(F.array(*map(F.lit, CONNECTIVES)), (F.col("o_orderkey") % len(CONNECTIVES) + 1).cast("int"))
+    text = F.concat(F.lit("Acting "), "o_orderpriority", F.lit(" — "), F.initcap(phrase), F.lit(" Article 5(1)"))
     return _cited(table(s, d, "orders"), text, "o_orderkey").select("o_orderkey", "connective_phrase")
 
 
+#: Renderings with %1$d and %2$d, and what each reference in them says: fields by name, N and M for the two numbers.
+_MORE = (
+    ("Article %1$d(%2$d), points (a) to (c), of Commission Delegated Regulation (EU) 2016/679", ("article=N, paragraph=M, first='a', last='c', celex='32016R0679', target='art-' || N || '.par-' || M",)),
+    ("Article %1$d(%2$d) of Regulations (EU) 2016/679 and (EU) 2018/1725", tuple(f"article=N, paragraph=M, celex='{c}', target='art-' || N || '.par-' || M" for c in ("32016R0679", "32018R1725"))),
+    ("Articles %1$d to %2$d of Directive 2010/87/EU", ("lo=N, hi=M, celex='32010L0087'",)),
+    ("Article %1$d of the Treaty", ("article=N, treaty='TREATY_GENERIC'",)),
+    ("point (b) of the second subparagraph of paragraph %1$d", ("paragraph=N, point='b', ord='second', target='par-' || N || '.subpar-2.pt-b'",)),
+    ("the third subparagraph, point (d)", ("point='d', ord='third', target='pt-d'",)),
+    ("the first subparagraph of paragraph %1$d of this Article", ("paragraph=N, ord='first', target='par-' || N || '.subpar-1'",)),
+    ("Article %1$d(%2$d), points (a) to (f)", ("article=N, paragraph=M, first='a', last='f', target='art-' || N || '.par-' || M",)),
+    ("points (b) to (e) of Article %1$d", ("article=N, first='b', last='e', target='art-' || N",)),
+    ("Articles %1$d to %2$d", ("lo=N, hi=M",)),
+    ("Article %1$d or Article %2$d(3)", ("article=N, target='art-' || N", "article=M, paragraph=3, target='art-' || M || '.par-3'")),
+    ("paragraphs %1$d to %2$d", ("plo=N, phi=M",)),
+    ("paragraph %1$d", ("paragraph=N, target='par-' || N",)),
+    ("the first and second subparagraphs of this paragraph", ("ord='first'", "ord='second'")),
+    ("the fourth subparagraph", ("ord='fourth'",)),
+    ("this Section", ("section='THIS'",)),
+    ("Section B of Annex IV", ("section='B', annex='IV'",)),
+    ("Annexes II and VI", ("annex='II', target='annex-II'", "annex='VI', target='annex-VI'")),
+    ("Article %1$d(%2$d), second subparagraph", ("article=N, paragraph=M, target='art-' || N || '.par-' || M",)),
+    ("the second subparagraph of Article %1$d(%2$d)", ("article=N, paragraph=M, target='art-' || N || '.par-' || M", "ord='second'")),
+)
+_SAYS = {"article": "bigint", "paragraph": "bigint", "point": "varchar", "ord": "varchar", "first": "varchar", "last": "varchar", "lo": "bigint", "hi": "bigint", "plo": "bigint", "phi": "bigint", "treaty": "varchar", "section": "varchar", "annex": "varchar", "celex": "varchar", "target": "varchar"}
+
+
+def _more_sql() -> str:
+    parts = []
+    for k, (_, refs) in enumerate(_MORE):
+        for ref in refs:
+            said = dict(x.split("=", 1) for x in ref.split(", "))
+            cols = ", ".join(f"cast({said.get(c, 'null')} as {kind}) as {c}" for c, kind in _SAYS.items())
+            parts.append(f"select o_orderkey, {cols} from (select o_orderkey, 1 + o_custkey % 90 as N, 100 + o_custkey % 70 as M from orders where o_orderkey % {len(_MORE)} = {k})")
+    return " union all ".join(parts)
+
+
+@query(_more_sql())
+def cite_other_rules(s, d):
+    """The rules that no other query has, one text each."""
+    t = table(s, d, "orders").withColumns({"n": 1 + F.col("o_custkey") % 90, "m": 100 + F.col("o_custkey") % 70})
+    text = F.lit("")
+    for k, (form, _) in enumerate(_MORE):
+        text = F.when(F.col("o_orderkey") % len(_MORE) == k, F.concat(F.lit("See "), F.format_string(form, "n", "m"), F.lit("."))).otherwise(text)
+    r = _cited(t, text, "o_orderkey")
+    return r.select(
+        "o_orderkey", F.col("article").cast("bigint").alias("article"), F.col("paragraph").cast("bigint").alias("paragraph"), "point", F.col("subparagraph_ordinal").alias("ord"), F.col("point_range.start").alias("first"), F.col("point_range.end").alias("last"),
+        F.col("article_range.start").cast("bigint").alias("lo"), F.col("article_range.end").cast("bigint").alias("hi"), F.col("paragraph_range.start").cast("bigint").alias("plo"), F.col("paragraph_range.end").cast("bigint").alias("phi"),
+        F.col("treaty_code").alias("treaty"), "section", "annex", "celex", F.col("target_node_id").alias("target"),
+    )
+
+
 @query("""select o_orderkey, '32011L' || printf('%04d', cast(o_custkey as int)) as celex from orders""")
 def contextual_act(s, d):
     text = F.format_string("Directive 2010/%d/EU and Directive 2011/%d/EU apply. Article 4 of that Directive", F.col("o_custkey") + 1, "o_custkey")
@@ -260,11 +307,11 @@ def is_stem(s, d):
     return E.stems(E.children_counts(_tree(s, d))).select("id", "is_stem")
 
 
-@query("""select conv_id, turn, last_value(case when role = 'user' then struct_pack(h := left(text, 20)) when role = 'system' then struct_pack(h := cast(null as varchar)) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row).h as article_heading from conversations""")
+@query("""select conv_id, turn, last_value(case when role = 'user' then struct_pack(h := text) when role = 'system' then struct_pack(h := cast(null as varchar)) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row).h as article_heading from conversations""")
 def heading_propagation(s, d):
     t = table(s, d, "conversations")
     kind = F.when(F.col("role") == "user", "article").when(F.col("role") == "system", "recital").otherwise("point")
-    u = t.select("conv_id", "turn", F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), kind.alias("type"), F.left("text", F.lit(20)).alias("heading"))
+    u = t.select("conv_id", "turn", F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), kind.alias("type"), F.col("text").alias("heading"))
     return E.article_headings(u).select("conv_id", "turn", "article_heading")
 
 
@@ -354,10 +401,11 @@ def ancestor_subparagraph(s, d):
 @query("""select o_orderkey, coalesce((select 'art-' || c_custkey || '.par-1' from customer where c_custkey = o_custkey and c_custkey % 2 = 0), (select 'art-' || c_custkey from customer where c_custkey = o_custkey and c_custkey % 3 = 0)) as target from orders""")
 def resolve_candidates(s, d):
     o, c = table(s, d, "orders"), table(s, d, "customer")
-    asked = o.select("o_orderkey", F.posexplode(F.array(F.concat(F.lit("art-"), "o_custkey", F.lit(".par-1")), F.concat(F.lit("art-"), "o_custkey"))).alias("rank", "id"))
+    known = {"citation_type": F.lit("internal"), "candidates": F.array(F.concat(F.lit("art-"), "o_custkey", F.lit(".par-1")), F.concat(F.lit("art-"), "o_custkey"))}
+    cited = F.array(F.struct(*(known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in C.WITH_CANDIDATES.fields)))
     units = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("art-"), "c_custkey", F.lit(".par-1")).alias("id")).union(c.where("c_custkey % 3 = 0").select(F.concat(F.lit("art-"), "c_custkey")))
-    first = asked.join(units, "id", "left_semi").groupBy("o_orderkey").agg(F.min_by("id", "rank").alias("target"))
-    return o.select("o_orderkey").join(first, "o_orderkey", "left")
+    out = C.resolve_targets(o.select(F.lit("all").alias("doc_id"), F.col("o_orderkey").alias("pos"), cited.alias("citations")), units.withColumn("doc_id", F.lit("all")))
+    return out.select(F.col("pos").alias("o_orderkey"), F.col("citations")[0]["target_node_id"].alias("target"))
 
 
 @query("""select b.event_id, (select max_by(a.event_id, a.ts) from events a where a.user_id = b.user_id and a.event_type = 'click' and a.ts < b.ts) as preceding from events b where b.event_type = 'purchase'""")
@@ -380,16 +428,17 @@ def counter_compare(s, d):
 
 @query("select md5(text) as h, cast(count(*) as bigint) as n from (select text from documents except all select text from benchmark) group by 1")
 def missing_except_all(s, d):
-    left = table(s, d, "documents").select("text").exceptAll(table(s, d, "benchmark").select("text"))
-    return left.groupBy(F.md5("text").alias("h")).agg(F.count("*").alias("n"))
+    out = V.compare_multisets(table(s, d, "documents").select("text"), table(s, d, "benchmark").select("text"), [], "text")
+    return out.where("missing > 0").select(F.md5("text").alias("h"), F.col("missing").alias("n"))
 
 
 @query("""select l_partkey, cast(count(*) filter (there) as bigint) as misclassified, cast(count(*) filter (not there) as bigint) as gone from (select l_partkey, exists (select 1 from lineitem k where k.l_partkey = l.l_partkey and k.l_returnflag = 'N') as there from lineitem l where l_returnflag = 'R') group by 1""")
 def gone_vs_misclassified(s, d):
-    t = table(s, d, "lineitem")
-    placed = t.where("l_returnflag = 'N'").select("l_partkey").distinct().withColumn("there", F.lit(True))
-    out = t.where("l_returnflag = 'R'").join(placed, "l_partkey", "left")
-    return out.groupBy("l_partkey").agg(F.count("there").alias("misclassified"), F.count_if(F.col("there").isNull()).alias("gone"))
+    t = table(s, d, "lineitem").select(F.lit("all").alias("doc_id"), F.concat(F.lit("part "), F.format_string("%09d", "l_partkey")).alias("text"), "l_returnflag")
+    html = t.where("l_returnflag = 'R'").select("doc_id", F.lit("art_1").alias("section"), F.lit("paragraph").alias("kind"), "text")
+    units = t.where("l_returnflag = 'N'").select("doc_id", F.lit("point").alias("type"), F.lit(None).cast("string").alias("annex_number"), F.lit("1").alias("article_number"), "text")
+    out = V.mirror_comparison(units, html).where("kind = 'paragraph'")
+    return out.select(F.substring("text", 6, 9).cast("bigint").alias("l_partkey"), "misclassified", "gone")
 
 
 @query("select item_id from benchmark b where not exists (select 1 from documents d where contains(d.text, b.text))")
@@ -500,6 +549,60 @@ def structure_units(s, d):
     return units_of(_acts(s, d)).select("doc_id", "id", "type", "text", "parent_id")
 
 
+_GRID = '<div class="grid-container"><div class="grid-list-column-1"><span>(a)</span></div><div class="grid-list-column-2"><p class="norm">point %2$d</p>%3$s</div></div>'
+_TABLE = '<table><colgroup><col width="5%%"><col width="95%%"></colgroup><tbody><tr><td><p>%s</p></td><td>%s</td></tr></tbody></table>'
+
+
+def _shape(s: SparkSession, d: str, form: str) -> DataFrame:
+    """Units of an act for each customer; %1$d is its key, %2$d its nation."""
+    t = table(s, d, "customer").withColumn("source_file", F.lit(""))
+    rows = t.select(_str("c_custkey").alias("doc_id"), "source_file", F.format_string(form, "c_custkey", "c_nationkey").alias("html"))
+    return units_of(rows).select("doc_id", "id", "type", "text", "parent_id")
+
+
+def _shape_sql(*units: tuple[str, str, str, str | None]) -> str:
+    """{k} is the customer's key, {n} its nation."""
+
+    def told(x: str | None) -> str:
+        return "cast(null as varchar)" if x is None else "'" + x.replace("{k}", "' || c_custkey || '").replace("{n}", "' || c_nationkey || '") + "'"
+
+    return " union all ".join(f"select cast(c_custkey as varchar) as doc_id, {told(i)} as id, '{kind}' as type, {told(text)} as text, {told(up)} as parent_id from customer" for i, kind, text, up in units)
+
+
+@query(_shape_sql(("art-{k}", "article", "", None), ("art-{k}.intro-1", "intro", "Intro {n}.", "art-{k}"), ("art-{k}.par-1", "paragraph", "Body {n}:", "art-{k}"), ("art-{k}.par-1.pt-a", "point", "point {n}", "art-{k}.par-1"), ("art-{k}.par-1.pt-a.sub-a", "subpoint", "point {n}", "art-{k}.par-1.pt-a")))
+def structure_consolidated(s, d):
+    grid = _GRID.replace("%3$s", _GRID.replace("%3$s", ""))
+    return _shape(s, d, f'<div id="art_%1$d" class="eli-subdivision"><p class="title-article-norm">Article %1$d</p><p class="stitle-article-norm">Scope</p><p class="norm">Intro %2$d.</p><div class="norm"><span class="no-parag">1.  </span><div class="inline-element"><p class="norm">Body %2$d:</p>{grid}</div></div></div>')
+
+
+@query(_shape_sql(("annex-I", "annex", "", None), ("annex-I.part-B", "annex_part", "Part B of {n}", "annex-I"), ("annex-I.part-B.item-a", "annex_item", "item {k}", "annex-I.part-B"), ("annex-I.part-B.item-1", "annex_item", "loose text {n}", "annex-I.part-B")))
+def structure_annex(s, d):
+    item = _TABLE % ("(a)", '<p class="oj-normal">item %1$d</p>')
+    return _shape(s, d, f'<div id="anx_I" class="eli-container"><p class="oj-doc-ti">ANNEX I</p><p class="oj-ti-grseq-1">List of things</p><p class="oj-ti-grseq-1">Part B of %2$d</p>{item.replace("5%", "5%%").replace("%%%%", "%%")}<p class="oj-normal">loose text %2$d</p></div>')
+
+
+@query(_shape_sql(("art-{k}", "article", "", None), ("art-{k}.par-1", "paragraph", "Act {n} is amended as follows:", "art-{k}"), ("art-{k}.par-1.pt-1", "point", "in Article {k}", "art-{k}.par-1"), ("art-{k}.par-1.subpar-1", "subparagraph", "new words of {n} here", "art-{k}.par-1")))
+def structure_amending(s, d):
+    item = (_TABLE % ("(1)", '<p class="oj-normal">in Article %1$d</p>')).replace("5%", "5%%").replace("%%%%", "%%")
+    return _shape(s, d, f'<div id="art_%1$d" class="eli-subdivision"><p class="oj-ti-art">Article %1$d</p><div class="eli-title"><p class="oj-sti-art">Amendments to X</p></div><p class="oj-normal">Act %2$d is amended as follows:</p>{item}<p class="oj-normal">new words of %2$d here</p></div>')
+
+
+@query(_shape_sql(("document-title", "document_title", "REGULATION {k} of 1 May", None), ("recital-1", "recital", "Whereas {n} holds", None), ("recital-2", "recital", "First {k} second part", None)))
+def structure_recitals(s, d):
+    item = (_TABLE % ("(1)", '<p class="oj-normal">Whereas %2$d holds</p>')).replace("5%", "5%%").replace("%%%%", "%%")
+    title = '<div class="eli-main-title"><p class="oj-doc-ti">REGULATION %1$d</p><p class="oj-doc-ti">of 1 May</p><p class="oj-doc-ti">(Text with EEA relevance)</p></div>'
+    return _shape(s, d, title + f'<div id="rct_1" class="eli-subdivision">{item}</div><div id="rct_2" class="eli-subdivision"><p class="oj-normal">2. First %1$d</p><p class="oj-normal">second part</p></div>')
+
+
+@query(_shape_sql(("art-1", "article", "", None), ("art-1.par-1", "paragraph", "These apply to {n}:", "art-1"), ("art-1.par-1.pt-a", "point", "first {k}", "art-1.par-1"), ("art-1.par-1.pt-a.sub-i", "subpoint", "inner {n}", "art-1.par-1.pt-a"), ("art-1.par-1.pt-a.sub-i.subsub-x", "subsubpoint", "deepest {k}", "art-1.par-1.pt-a.sub-i"), ("art-1.par-1.subpar-1", "subparagraph", "Then more of {n}.", "art-1.par-1")))
+def structure_nested(s, d):
+    escaped = _TABLE.replace("%%", "%").replace('5%"', '5%%"')
+    deepest = escaped.replace("%s", "(x)", 1).replace("%s", '<p class="oj-normal">deepest %1$d</p>')
+    inner = escaped.replace("%s", "(i)", 1).replace("%s", '<p class="oj-normal">inner %2$d</p>' + deepest)
+    outer = escaped.replace("%s", "(a)", 1).replace("%s", '<p class="oj-normal">first %1$d</p>' + inner)
+    return _shape(s, d, f'<div id="art_1" class="eli-subdivision"><p class="oj-ti-art">Article 1</p><div id="001.001"><p class="oj-normal">1. These apply to %2$d:</p>{outer}<p class="oj-normal">Then more of %2$d.</p></div></div>')
+
+
 @query(_LINES + """select doc_id, 'art-1.par-' || n || '.pt-b' as id, 'Article 1(1)' as raw_text, 'art-1.par-1' as target_node_id, 'Art. 1(' || n || ')(b)' as target_path, cast(0 as bigint) as children_count from t""")
 def parse_and_resolve(s, d):
     u = parse_documents(_acts(s, d)).units.where("type = 'point' and size(citations) > 0")
@@ -512,6 +615,19 @@ def audit_mirror(s, d):
     return audit(parse_documents(_acts(s, d)), "mirror").select("doc_id", "total_html_segments", "gone", F.col("coverage_pct").cast("double").alias("coverage_pct"), "passed")
 
 
+@query(_LINES + """select doc_id, cast(3 * count(*) as bigint) as total_html_segments, cast(count(*) filter (l_partkey % 3 = 0) as bigint) as gone, cast(count(*) filter (l_partkey % 5 = 0) as bigint) as phantom_count,
+ count(*) filter (l_partkey % 3 = 0 or l_partkey % 5 = 0) = 0 as passed from t group by doc_id""")
+def audit_of_losses(s, d):
+    """The same acts with some paragraphs taken out of their units and some words put into points."""
+    parsed = parse_documents(_acts(s, d))
+    part = F.regexp_extract("text", r"^(?:The following|see Article 1\(1\) and part) (\d+)", 1)
+    lost = (F.col("type") == "paragraph") & (part.cast("bigint") % 3 == 0)
+    invented = (F.col("type") == "point") & F.col("text").startswith("see") & (part.cast("bigint") % 5 == 0)
+    raw = parsed.raw.where(~F.coalesce(lost, F.lit(False)))
+    raw = raw.unionByName(raw.where(F.coalesce(invented, F.lit(False))).withColumn("text", F.concat("text", F.lit(" invented"))))
+    return audit(replace(parsed, raw=raw), "mirror").select("doc_id", "total_html_segments", "gone", "phantom_count", "passed")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -8,8 +8,9 @@ filter); postings of one word are paired under the length filter s_a >= t s_b, t
 the shared one must reach the overlap needed) and the Hamming distance of parity sketches of a line's size, which
 bounds the symmetric difference from below. Within a word's postings, pairs that pass are kept as a spanning forest only, so a
 family of many variants costs as many edges as it has members. Connected components of these edges hold every true
-pair; each component's word sets are brought together once, and each line is compared exactly with all earlier ones
-of its component until one resembles it.
+pair; each component's word sets are brought together, and each line is compared exactly with all earlier ones of its
+component until one resembles it. A component of more than BLOCK_LINES lines or BLOCK_BYTES of words is cut into blocks,
+any two of which meet in a task, so no task holds more than two blocks, however large a family of lines is.
 
 Null ids and null texts take no part. Lines of fewer than ``min_words`` distinct words, empty ones too, always stay.
 Rows repeated under one id are one document. Other columns are ignored; an empty table gives an empty result.
@@ -25,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, in_blocks, meeting
 from .kernel import U64, Blobs, chunks, mix, runs, signed, target_of, words
 from .shared import BROADCAST_ROWS, as_long, ids_of, shuffle_partitions, small_side, written
 
-THRESHOLD, MIN_WORDS = 0.8, 3
+THRESHOLD, MIN_WORDS = 0.8, 1
 BUCKET_BITS, RANGE_BITS = 18, 12
 LINES, LEVELS, PAIRS = 1 << 16, 7, 1 << 18
 _RANK_BITS, _HASH_BITS = 10, 38
+BLOCK_LINES, BLOCK_BYTES = 1 << 13, 1 << 24
+#: Numbers of lines to cut, ids included, up to which their lists are broadcast (8 bytes each).
+BROADCAST_CUTS = 2_000_000
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +297,8 @@ _KEPT = pa.schema([("sig", pa.int64()), ("kept", pa.struct([("id", pa.int64()),
 
 
 def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows (comp, id, line, sig, words) ordered by component and place."""
-    comp, held, out = None, [], []
+    """Rows (comp, i, j, id, line, sig, words) ordered by component, pair of blocks and place."""
+    group, held, out = None, [], []
 
     def done() -> None:
         found = earliest([np.frombuffer(r[3], U64) for r in held], t)
@@ -302,12 +306,12 @@ def _compared(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
             out.append((held[k][2], {"id": held[found[k]][0], "line": held[found[k]][1]}))
 
     for b in batches:
-        for c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if c != comp and held:
+        for *at, id_, line, sig, words_ in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if at != group and held:
                 done()
                 held = []
-            comp = c
-            held.append(row)
+            group = at
+            held.append((id_, line, sig, words_))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _KEPT, strict=True)], schema=_KEPT)
             out = []
@@ -333,10 +337,13 @@ def similar_lines(docs: DataFrame, t: float = THRESHOLD, min_words: int = MIN_WO
     wanted = ids_of(members, "sig") if 0 < count <= BROADCAST_ROWS else None
     holders = members.select(F.col("first.id").alias("id")).distinct()
     some = texts.join(small_side(holders, count), "id", "left_semi").select("id", "text")
-    sets = some.mapInArrow(partial(_sets, ranks=ranks, wanted=wanted, min_words=min_words), "sig bigint, words binary").dropDuplicates(["sig"])
-    rows = members.join(sets, "sig").select("comp", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "sig", "words")
-    near = rows.repartition(parts, "comp").sortWithinPartitions("comp", "id", "line").mapInArrow(partial(_compared, t=t), KEPT_DDL)
-    near = near.withColumnRenamed("kept", "theirs")
+    sets = written(some.mapInArrow(partial(_sets, ranks=ranks, wanted=wanted, min_words=min_words), "sig bigint, words binary").dropDuplicates(["sig"]), "sets")
+    one = members.join(sets.select("sig", F.length("words").alias("size")), "sig").select(F.col("sig").alias("node"), "first", "size")
+    blocks = F.greatest(F.count("*") / BLOCK_LINES, F.sum("size") / BLOCK_BYTES)
+    placed = written(in_blocks(members.select(F.col("sig").alias("node"), "comp"), one, blocks).drop("size"), "blocks")
+    rows = meeting(placed.withColumnRenamed("node", "sig").join(sets, "sig")).select("comp", "i", "j", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "sig", "words")
+    near = rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id", "line").mapInArrow(partial(_compared, t=t), KEPT_DDL)
+    near = near.groupBy("sig").agg(F.min("kept").alias("theirs"))
     kept = firsts.join(near, "sig", "left").where("n > 1 or theirs is not null").select("sig", F.least("first", "theirs").alias("kept"))
     out = places.join(kept, "sig").where(F.struct("id", "line") > F.col("kept")).distinct()
     return out.select(F.col("id").alias("doc_id"), F.col("line").alias("line_no"), F.col("kept.id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line_no"))
@@ -348,7 +355,8 @@ def drop_similar_lines(docs: DataFrame, t: float = THRESHOLD, min_words: int = M
     lines = F.split(F.col(text_col), "\n", -1)
     flags = F.map_from_arrays("__gone", "__gone")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.map_contains_key(flags, i)), "\n")
-    joined = docs.join(small_side(gone, limit=500_000), as_long(id_col) == F.col("__id"), "left")
+    held = gone.agg(F.coalesce(F.sum(F.size("__gone") + 2), F.lit(0)).cast("bigint")).first()[0]
+    joined = docs.join(small_side(gone, held, BROADCAST_CUTS), as_long(id_col) == F.col("__id"), "left")
     new = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)}
     kinds = dict(docs.dtypes)
     out = joined.withColumns(new)

@@ -276,6 +276,24 @@ def test_lines_against_brute_force(spark, t):
     assert got == brute_lines(rows, t, line_dedup.MIN_WORDS)
 
 
+@pytest.mark.parametrize("lines, size", [(3, 1 << 24), (1 << 13, 200)])
+def test_a_family_of_lines_is_compared_in_blocks(spark, monkeypatch, lines, size):
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines)
+    monkeypatch.setattr(line_dedup, "BLOCK_BYTES", size)
+    rng = random.Random(8)
+    text = sentence(rng, 60)
+    rows = line_corpus() + [(100 + k, edited(rng, text, 0.05)) for k in range(60)] + [(200, text), (201, text)]
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in line_dedup.similar_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows, line_dedup.THRESHOLD, line_dedup.MIN_WORDS)
+
+
+def test_short_lines_of_an_empty_and_a_small_table(spark):
+    assert line_dedup.similar_lines(table(spark, [])).count() == 0
+    rows = [(1, "yes\n\nno"), (2, "Yes"), (3, "...\nno no"), (4, "yes no"), (5, "no yes")]
+    got = {(r.doc_id, r.line_no): (r.kept_doc_id, r.kept_line_no) for r in line_dedup.similar_lines(table(spark, rows)).collect()}
+    assert got == {(2, 0): (1, 0), (3, 1): (1, 2), (5, 0): (4, 0)} == brute_lines(rows, line_dedup.THRESHOLD, line_dedup.MIN_WORDS)
+
+
 def test_lines_are_cut_out(spark):
     rows = line_corpus()
     docs = table(spark, rows)

@@ -6,18 +6,17 @@ Jaccard >= t means a symmetric difference of at most D = (1 - t) / (1 + t) * (|A
 
 1. One pass gives each document its set's identity (``node``), size and a parity sketch of about one bit a member.
    Documents of equal sets share a node, so exact copies cost nothing further.
-2. A second pass cuts the sketch, over a virtual bit space, into m segments for the node's size band and the next
-   one, and keeps a linear 64-bit fingerprint (XOR of codes) of each. While D + 1 <= EXACT_BLOCKS, m = D + 1: two sets
-   within D agree on one segment by pigeonhole. Beyond, m = D / 2: as members fall into segments at random, a pair
-   at exactly D agrees on e^-2 of at least EXACT_BLOCKS / 2 segments. Segments with too few members to tell sets
-   apart carry no key. Measured recall at the threshold is in the tests.
-3. Keys are shuffled as packed binary rows. All pairs of nodes with an equal key are candidates if their sizes allow it
-   and, for keys of sets under LARGE members, 64-bit sketches do. A row of a larger set holds digests of the keys of the
-   BEFORE segments before it, as a pair that agrees on one of them is given there. Buckets of up to ALL_PAIRS nodes give
-   their pairs. Of a larger one only links to its first node and between neighbours are tried at first, which finds
-   most of any group of near copies; once those links are components, its nodes are compared tile by tile, and the pairs
-   of different components are given. So no group of copies is ever written out as pairs.
-4. The sketches' Hamming distance discards pairs. The nodes of each component of the rest are brought together once, in
+2. A sample of at most ``SAMPLE`` documents counts how often n-grams fall into each of 2**``CELLS`` cells; the cell's level
+   and then the hash order all n-grams, rare ones first. The sample sets the speed alone: any order gives the same result.
+3. A second pass writes the first |A| - ceil(t |A|) + 1 members of each set in that order as keys, packed as binary rows.
+   Two sets with Jaccard >= t share at least ceil(t |A|) members, hence one of these of both, whatever their sizes.
+4. All pairs of nodes with an equal key are candidates, unless their sizes, the members left from the key on, or, between
+   sets under LARGE members, 64-bit sketches forbid it. A row of a larger set knows the key before its own: a pair that
+   agrees on it is given there. Buckets of up to ALL_PAIRS nodes give their pairs. Of a larger one only links to its first
+   node and between neighbours are tried at first, which finds most of any group of near copies; once those links are
+   components, its nodes are compared tile by tile, and the pairs of different components are given. So no group of copies
+   is ever written out as pairs.
+5. The sketches' Hamming distance discards pairs. The nodes of each component of the rest are brought together once, in
    blocks of bounded size of which every two meet in a task, and there all pairs of the component, candidates or not,
    are compared by size, sketch and exact Jaccard. A task gives each node's number of links and a label of its class.
 
@@ -36,7 +35,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +43,12 @@ from .kernel import U64, Blobs, chunks, distinct, grams, mix, runs, signed, targ
 from .shared import as_long, dropped, moved, shuffle_partitions, small_side, written
 
 N, THRESHOLD = 2, 0.7
-BAND = 2.0
-EXACT_BLOCKS = 32
+#: Documents whose n-grams are counted to order all of them, by 2**CELLS cells in SHARES parts.
+SAMPLE, CELLS, SHARES = 50_000, 22, 16
 #: Buckets beyond ALL_PAIRS nodes are compared in tiles of TILE pairs; pairs are handed on by HANDED.
 ALL_PAIRS, TILE, HANDED = 64, 1 << 20, 1 << 20
-#: Earlier segments whose keys a row of a large set knows.
-BEFORE = 3
-DIGESTS = np.dtype([("w", np.uint32, (BEFORE,))])
-#: Keys of bands from LARGE members on carry digests, those below a 64-bit sketch.
+#: What a key's row knows: members before the key; a 64-bit sketch of sets under LARGE members, of others the key before.
+DIGESTS = np.dtype([("at", np.uint32), ("w", U64)])
 LARGE = 128
 #: Nodes and members of a block of a component.
 BLOCK_NODES, BLOCK_MEMBERS = 4096, 1_500_000
@@ -63,13 +59,9 @@ def limit_of(total: np.ndarray | int, t: float) -> np.ndarray:
     return np.floor((1 - t) / (1 + t) * total + 1e-9).astype(np.int64)
 
 
-def blocks_of(band: np.ndarray, t: float) -> np.ndarray:
-    d = limit_of(2 * np.ceil(BAND ** (band + 1)), t)
-    return np.where(d + 1 <= EXACT_BLOCKS, d + 1, np.maximum(EXACT_BLOCKS, d // 2)).astype(np.int64)
-
-
-def _least_members(m: np.ndarray) -> np.ndarray:
-    return np.where(m >= EXACT_BLOCKS, 3, np.where(m >= 8, 2, 1))
+def prefix_of(size: np.ndarray, t: float) -> np.ndarray:
+    """Members of which one at least is shared with any set whose Jaccard is at least t, in whatever order."""
+    return np.where(size > 0, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)
 
 
 def gram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,45 +117,62 @@ def _nodes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(signed(node), mask=none), pa.array(size), column], schema=NODES)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float, parts: int) -> Iterator[pa.RecordBatch]:
-    few, many = Blobs(parts), Blobs(2 * parts)
+def _cells(g: np.ndarray) -> np.ndarray:
+    return (g >> U64(52 - CELLS)).astype(np.int64)
+
+
+def _occurring(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the n-grams of some texts, towards the share of the cell."""
+    out = Blobs(SHARES)
+    for b in batches:
+        for _, _, data, offs in chunks(b.column(0)):
+            cell = _cells(gram_sets(data, offs, n)[0])
+            yield from out.add((cell * SHARES >> CELLS).astype(np.int32), cell.astype(np.uint32))
+    yield from out.flush()
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Eight levels for each doubling of the count of a cell."""
+    count: dict[int, np.ndarray] = {}
+    width = (1 << CELLS) // SHARES
+    for b in batches:
+        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            (cell,) = Blobs.read([blob], np.uint32)
+            count[part] = count.get(part, 0) + np.bincount(cell.astype(np.int64) - part * width, minlength=width)
+    for part, n in count.items():
+        level = np.minimum(8 * np.log2(1 + n), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], schema=Blobs.SCHEMA)
+
+
+def levels_of(texts: DataFrame, rows: int, n: int) -> np.ndarray:
+    """How common the n-grams of each cell are, in a sample of the texts (id, text)."""
+    every = -(-rows // SAMPLE)
+    some = texts if every <= 1 else texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    packed = some.select("text").mapInArrow(partial(_occurring, n=n), Blobs.DDL)
+    out = np.zeros(1 << CELLS, np.uint8)
+    width = len(out) // SHARES
+    for r in packed.repartitionById(SHARES, F.col("part")).mapInArrow(_levels, Blobs.DDL).toLocalIterator():
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.blob, np.uint8)
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch], n: int, t: float, parts: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
+    out = Blobs(parts)
     for b in batches:
         for _, _, data, offs in chunks(b.column(1)):
             g, first, size, node = gram_sets(data, offs, n)
-            sketch = _sketches(g, size, 1)
-            own = np.where(size > 0, np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9), -1).astype(np.int64)
-            for step in (0, 1):
-                band = own + step
-                use = np.flatnonzero((own >= 0) & ((step == 0) | (size / t + 1e-9 >= BAND**band)))
-                if not len(use):
-                    continue
-                m = blocks_of(band[use], t)
-                base = np.cumsum(m) - m
-                total = int(m.sum())
-                k = np.repeat(np.arange(len(use)), size[use])
-                at = np.arange(len(k)) - np.repeat((np.cumsum(size[use]) - size[use]), size[use]) + first[use][k]
-                member = g[at]
-                block = base[k] + (((member & U64(0xFFFFFFFF)) * m[k].astype(U64)) >> U64(32)).astype(np.int64)
-                print_ = np.zeros(total, U64)
-                np.bitwise_xor.at(print_, block, mix(member))
-                count = np.bincount(block, minlength=total)
-                of = np.repeat(np.arange(len(use)), m)
-                keep = np.flatnonzero(count >= _least_members(m)[of])
-                of = of[keep]
-                place = ((keep - base[of]).astype(U64) << U64(16)) | band[use][of].astype(U64)
-                key = mix(print_[keep] ^ mix(place))
-                # of the segments before, those with a key; 0 agrees with none
-                digest = np.zeros(total, np.uint32)
-                digest[keep] = np.maximum(mix(key) >> U64(32), U64(1)).astype(np.uint32)
-                before = np.zeros((len(keep), BEFORE), np.uint32)
-                for k in range(BEFORE):
-                    has = np.flatnonzero(keep - base[of] > k)
-                    before[has, k] = digest[keep[has] - k - 1]
-                row, to, big = use[of], target_of(key, parts), LARGE <= BAND ** band[use][of]
-                yield from few.add(to[~big], key[~big], node[row][~big], size[row][~big].astype(np.uint32), sketch[row][~big])
-                yield from many.add(to[big] + parts, key[big], node[row][big], size[row][big].astype(np.uint32), before[big].view(DIGESTS).ravel())
-    yield from few.flush()
-    yield from many.flush()
+            row = np.repeat(np.arange(len(size)), size)
+            g = g[np.argsort((row << 8) | level[_cells(g)], kind="stable")]  # equal levels stay in the order of hashes
+            at = np.arange(len(g)) - first[row]
+            use = np.flatnonzero(at < prefix_of(size, t)[row])
+            row, at, key = row[use], at[use], mix(g[use])
+            w = np.where(at > 0, np.r_[U64(0), key[:-1]], U64(0)) if len(key) else key  # 0 agrees with none
+            few = np.flatnonzero(size[row] < LARGE)
+            w[few] = _sketches(g, size, 1)[row[few]]
+            mark = np.empty(len(key), DIGESTS)
+            mark["at"], mark["w"] = at, w
+            yield from out.add(target_of(key, parts), key, node[row], size[row].astype(np.uint32), mark)
+    yield from out.flush()
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -174,7 +183,7 @@ MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("no
 class _Buckets:
     """Rows of keys shared by two nodes or more, ordered by key and node, and the pairs among them.
 
-    ``mark`` is a 64-bit sketch, or the digests of earlier segments. Pairs of one ``comp`` aren't wanted.
+    Pairs of one ``comp`` aren't wanted.
     """
 
     def __init__(self, t: float, key: np.ndarray, node: np.ndarray, size: np.ndarray, mark: np.ndarray, comp: np.ndarray | None = None):
@@ -186,23 +195,23 @@ class _Buckets:
         key, node = key[order], node[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
         order = order[new]
-        self.t, self.key, self.node, self.size, self.mark, self.sketched = t, key[new], node[new], size[order].astype(np.int64), mark[order], mark.dtype == U64
-        if not self.sketched:
-            self.mark = self.mark["w"]
+        self.t, self.key, self.node, self.size, self.mark = t, key[new], node[new], size[order].astype(np.int64), mark[order]
+        self.left, self.w = self.size - self.mark["at"], self.mark["w"]
         self.comp = None if comp is None else comp[order]
         self.first, self.count = runs(self.key)
 
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether a pair may be similar if it shares no member before the key."""
+        p, q = self.size[x], self.size[y]
+        most = limit_of(p + q, self.t)
+        ok = (p + q - 2 * np.minimum(self.left[x], self.left[y]) <= most) & (np.minimum(p, q) >= self.t * np.maximum(p, q) - 1e-9)
+        return ok & ((np.maximum(p, q) >= LARGE) | (np.bitwise_count(self.w[x] ^ self.w[y]) <= most))
+
     def wanted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether a pair is first met here, and may be similar."""
-        p, q = self.size[x], self.size[y]
-        ok = np.minimum(p, q) >= self.t * np.maximum(p, q) - 1e-9
-        if self.comp is not None:
-            ok &= self.comp[x] != self.comp[y]
-        if self.sketched:
-            return ok & (np.bitwise_count(self.mark[x] ^ self.mark[y]) <= limit_of(p + q, self.t))
-        for k in range(BEFORE):
-            ok &= (self.mark[x, k] != self.mark[y, k]) | (self.mark[x, k] == 0)
-        return ok
+        met = (np.minimum(self.size[x], self.size[y]) >= LARGE) & (self.w[x] == self.w[y]) & (self.w[x] != 0)
+        ok = self.similar(x, y) & ~met
+        return ok if self.comp is None else ok & (self.comp[x] != self.comp[y])
 
     def narrow(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of buckets of up to ALL_PAIRS nodes."""
@@ -230,10 +239,7 @@ class _Buckets:
         count = np.repeat(self.count, self.count)
         rest = np.flatnonzero((count > ALL_PAIRS) & np.r_[False, self.key[1:] == self.key[:-1]][: len(self.key)])
         for other in (np.repeat(self.first, self.count)[rest], rest - 1):
-            p, q = self.size[rest], self.size[other]
-            ok = np.minimum(p, q) >= self.t * np.maximum(p, q) - 1e-9
-            if self.sketched:
-                ok &= np.bitwise_count(self.mark[rest] ^ self.mark[other]) <= limit_of(p + q, self.t)
+            ok = self.similar(other, rest)
             yield other[ok], rest[ok]
 
     def given(self, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -262,24 +268,18 @@ class _Buckets:
 
 def _met(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) to be looked at, and rows (key, node, size, mark) of the buckets of over ALL_PAIRS nodes."""
-    blobs: dict[bool, list[bytes]] = {False: [], True: []}
-    for b in batches:
-        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            blobs[kind].append(blob)
-    for kind in (False, True):
-        read = Blobs.read(blobs.pop(kind), U64, U64, np.uint32, DIGESTS if kind else U64)
-        own = _Buckets(t, *read)
-        del read
-        for pairs in (own.narrow(), own.stars()):
-            for a, b in own.given(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(MET)[2:])], schema=MET)
-        rows = np.flatnonzero(np.repeat(own.count, own.count) > ALL_PAIRS)
-        for f in range(0, len(rows), 1 << 16):
-            at = rows[f : f + (1 << 16)]
-            mark = np.ascontiguousarray(own.mark[at]).view(np.uint8).reshape(len(at), -1)
-            wide = pa.Array.from_buffers(pa.binary(mark.shape[1]), len(at), [None, pa.py_buffer(mark.tobytes())]).cast(pa.binary())
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(signed(own.key[at])), pa.array(signed(own.node[at])), pa.array(own.size[at]), wide], schema=MET)
+    read = Blobs.read([blob for b in batches for blob in b.column("blob").to_pylist()], U64, U64, np.uint32, DIGESTS)
+    own = _Buckets(t, *read)
+    del read
+    for pairs in (own.narrow(), own.stars()):
+        for a, b in own.given(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(MET)[2:])], schema=MET)
+    rows = np.flatnonzero(np.repeat(own.count, own.count) > ALL_PAIRS)
+    for f in range(0, len(rows), 1 << 16):
+        at = rows[f : f + (1 << 16)]
+        wide = pa.Array.from_buffers(pa.binary(DIGESTS.itemsize), len(at), [None, pa.py_buffer(own.mark[at].tobytes())]).cast(pa.binary())
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(signed(own.key[at])), pa.array(signed(own.node[at])), pa.array(own.size[at]), wide], schema=MET)
 
 
 def _crossed(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -287,16 +287,12 @@ def _crossed(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    got = pa.Table.from_batches(held)
-    for width, kind in ((8, U64), (4 * BEFORE, DIGESTS)):
-        own = got.filter(pc.equal(pc.binary_length(got.column("mark")), width)).combine_chunks()
-        if not own.num_rows:
-            continue
-        mark = np.frombuffer(b"".join(own.column("mark").to_pylist()), kind)
-        key, node, size, comp = (own.column(c).to_numpy() for c in ("key", "node", "size", "comp"))
-        found = _Buckets(t, key.view(U64), node.view(U64), size, mark, comp)
-        for a, b in found.given(found.wide()):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGES)
+    got = pa.Table.from_batches(held).combine_chunks()
+    mark = np.frombuffer(b"".join(got.column("mark").to_pylist()), DIGESTS)
+    key, node, size, comp = (got.column(c).to_numpy() for c in ("key", "node", "size", "comp"))
+    found = _Buckets(t, key.view(U64), node.view(U64), size, mark, comp)
+    for a, b in found.given(found.wide()):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGES)
 
 
 def _near(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -403,13 +399,11 @@ def _joined(pairs: DataFrame, one: DataFrame, t: float) -> DataFrame:
     return both.mapInArrow(partial(_near, t=t), "a bigint, b bigint")
 
 
-def _components(texts: DataFrame, one: DataFrame, n: int, t: float) -> DataFrame:
+def _components(texts: DataFrame, one: DataFrame, n: int, t: float, level: np.ndarray) -> DataFrame:
     """(node, comp): components that hold all nodes linked by candidates, and perhaps more."""
     parts = shuffle_partitions(texts.sparkSession)
-    packed = texts.mapInArrow(partial(_keys, n=n, t=t, parts=parts), Blobs.DDL)
-    kind = F.col("part") >= parts
-    placed = packed.select(F.when(kind, F.col("part") - parts).otherwise(F.col("part")).alias("part"), kind.alias("kind"), "blob")
-    met = written(placed.repartitionById(parts, F.col("part")).mapInArrow(partial(_met, t=t), MET_DDL), "met")
+    packed = texts.mapInArrow(partial(_keys, n=n, t=t, parts=parts, level=level), Blobs.DDL)
+    met = written(packed.repartitionById(parts, F.col("part")).mapInArrow(partial(_met, t=t), MET_DDL), "met")
     near = written(_joined(met.where("a is not null").select("a", "b"), one, t), "near")
     comps = moved(connected_components(near), "comps", near)
     rows = met.where("a is null").select("key", "node", "size", "mark")
@@ -431,7 +425,7 @@ def near_classes(docs: DataFrame, n: int = N, t: float = THRESHOLD, id_col: str
     weight = of.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     sketches = nodes.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     one = written(weight.join(sketches, "node"), "one")
-    comps = _components(texts, one, n, t)
+    comps = _components(texts, one, n, t, levels_of(texts, nodes.count(), n))
     blocks = F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_MEMBERS)
     picked = written(in_blocks(comps, one.select("node", "id", "weight", "size"), blocks).drop("size"), "picked")
     met = meeting(texts.join(small_side(picked), "id")).select("comp", "i", "j", "node", "weight", "block", "text")

@@ -158,6 +158,33 @@ def test_ngram_join_recall_at_the_threshold(spark):
     assert sum(r.links for r in ngram_join.ngram_jaccard_join(table(spark, rows), 2, 0.68).collect()) >= 2 * 58
 
 
+def barely_similar(pairs):
+    """Of each (k, n) two texts 2 i and 2 i + 1 of n distinct words, that share no more than Jaccard 0.7 asks for."""
+    rows = []
+    for i, (k, n) in enumerate(pairs):
+        shared = -(-14 * n // 17)
+        both = [f"w{k}x{j}" for j in range(shared)]
+        rows += [(2 * i, " ".join(both + [f"a{k}x{j}" for j in range(n - shared)])), (2 * i + 1, " ".join(both + [f"b{k}x{j}" for j in range(n - shared)]))]
+    return rows
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Sets that agreed on none of 32 segments, and others."""
+    rows = barely_similar([(1973, 65), (3838, 74), (6867, 87), (6965, 69), (8485, 81), (9284, 68), (9983, 71), *((k, 1 + k) for k in range(200))])
+    got = ngram_join.ngram_jaccard_join(table(spark, rows), 1, 0.7).collect()
+    assert {(r.doc_id, r.class_id, r.links) for r in got} == {(i, i - i % 2, 1) for i, _ in rows}
+
+
+def test_prefixes_give_every_link_from_a_small_sample(spark, monkeypatch):
+    """Texts of 1 to 200 words out of 12, so that all pairs of words are common."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 100)
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(WORDS[:12]) for _ in range(rng.choice([1, 2, 5, 9, 20, 60, 130, 200])))) for k in range(500)]
+    want = classes_of(range(500), brute_pairs(rows, 2, 0.7))
+    assert sum(v for _, v in want.values()) > 100
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.ngram_jaccard_join(table(spark, rows)).collect()} == want
+
+
 def test_a_large_group_is_found_whole(spark):
     rng = random.Random(2)
     base = sentence(rng, 300)

@@ -175,6 +175,12 @@ def test_no_link_at_the_threshold_is_lost(spark):
     assert {(r.doc_id, r.class_id, r.links) for r in got} == {(i, i - i % 2, 1) for i, _ in rows}
 
 
+def test_near_copies_of_few_words_go(spark):
+    """Sets whose equal segments had too few members to carry a key."""
+    rows = barely_similar([(66, 18), (178, 18), (195, 19)])
+    assert {r.doc_id for r in ngram_join.drop_near_duplicates(table(spark, rows), 1, 0.7).collect()} == {0, 2, 4}
+
+
 def test_prefixes_give_every_link_from_a_small_sample(spark, monkeypatch):
     """Texts of 1 to 200 words out of 12, so that all pairs of words are common."""
     monkeypatch.setattr(ngram_join, "SAMPLE", 100)

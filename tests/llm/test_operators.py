@@ -770,6 +770,19 @@ def test_url_models_keep_whole_contexts_within_their_bound(spark):
             assert (a.context[k][at] == b.context[k]).all() and (a.total[k][at] == b.total[k]).all() and (a.kinds[k][at] == b.kinds[k]).all()
 
 
+@pytest.mark.parametrize(("most", "shard"), [(4, 1 << 20), (400, 50), (900, 1 << 20)])
+def test_url_verdicts_are_those_of_all_counts_whatever_the_bound(spark, monkeypatch, most, shard):
+    monkeypatch.setattr(url_filter, "SHARD", shard)
+    known = urls(0, 200)
+    labels = spark.createDataFrame(known, "url string, rejected boolean")
+    rows = [(k, u) for k, (u, _) in enumerate([*known[:50], *urls(1, 100)])] + [(900, None), (901, "  "), (902, "http://unseen.test/ü"), (903, "http://garden.example.com/" + "a" * 5000), (None, known[0][0]), (0, known[0][0])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").repartition(3)
+    full, small = (url_filter.train(labels, labels=labels, **kw) for kw in ({}, {"most": most}))
+    assert sum(map(len, small.accepted.pair)) <= most and small.threshold == full.threshold
+    want, got = (sorted(url_filter.judge_urls(pages, model=m).collect(), key=str) for m in (full, small))
+    assert len(got) == len(rows) and got == want
+
+
 def test_markov_probabilities_add_up_to_one():
     m = url_filter.Markov.fit(["abcab", "abd", "xyz"])
     sym, _, keys = url_filter._keys(np.frombuffer(b"abca", np.uint8), np.array([0, 4]))

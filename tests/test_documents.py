@@ -361,3 +361,22 @@ def test_files_cli_and_stream(spark, tmp_path):
     query = parse_stream(html_stream(spark, str(folder)), str(tmp_path / "s"), str(tmp_path / "c"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s" / "units")).count() == 7
+
+
+def test_well_formed_markup_gives_the_same_tree_by_expat_as_by_pattern():
+    from legalspark.functions import dom
+
+    def shape(n):
+        return n.tag, n.attrs, [k if isinstance(k, str) else shape(k) for k in n.kids]
+
+    plain = '<div id="a" class="x y"><p>One &amp; two<br>three</p><table><colgroup><col width="5%"><col/></colgroup><tbody><tr><td><p>(a)</p></td><td><p>b<div>c</div></p></td></tr></tbody></table><div/>é</div>tail'
+    left = ("<p/>x", "<p>a<p>b", "a &nbsp; b", '<span class="a\nb">c</span>', "<script>a</script>", "<!-- c --><p>d</p>", "<DIV>e</DIV>x&#39;", "a < b")
+    for html in (plain, *left):
+        by_pattern = dom._Builder()
+        by_pattern.feed(html)
+        assert shape(dom.parse(html)) == shape(by_pattern.root), html
+    assert dom._well_formed(plain) is not None and all(dom._well_formed(h) is None for h in left)
+    root = dom.parse(plain)
+    for n in (root, *root.walk()):
+        below = [k for k in n.walk() if k.tag == "p"]
+        assert n.all("p") == below and n.first("p") == next(iter(below), None) and all(k.inside(n.tag) for k in below)

@@ -380,3 +380,17 @@ def test_well_formed_markup_gives_the_same_tree_by_expat_as_by_pattern():
     for n in (root, *root.walk()):
         below = [k for k in n.walk() if k.tag == "p"]
         assert n.all("p") == below and n.first("p") == next(iter(below), None) and all(k.inside(n.tag) for k in below)
+
+
+def test_texts_of_one_form_are_matched_once_and_read_with_their_own_numbers():
+    from legalspark.functions import citation_grammar as g
+
+    texts = [f"point ({c}) of the second subparagraph of Article {a}({p}) of Regulation (EU) No {n}/2013" for c, a, p, n in (("a", 1, 10, 575), ("a", 7, 42, 107), ("a", 9, 99, 999))]
+    g._kept_claims.cache_clear()
+    got = [g.extract(t) for t in texts]
+    assert g._kept_claims.cache_info().misses == 1 and g._kept_claims.cache_info().hits == 2
+    assert [(r["article"], r["paragraph"], r["celex"], r["span_end"], r["target_node_id"]) for (r,) in got] == [
+        (1, 10, "32013R0575", len(texts[0]), "art-1.par-10.subpar-2.pt-a"), (7, 42, "32013R0107", len(texts[1]), "art-7.par-42.subpar-2.pt-a"), (9, 99, "32013R0999", len(texts[2]), "art-9.par-99.subpar-2.pt-a"),
+    ]
+    that = "{} (EU) 2016/679 and Article 4 of that Regulation"
+    assert [r["celex"] for r in g.extract(that.format("Regulation"))] == ["32016R0679", "32016R0679"] and [r["celex"] for r in g.extract(that.format("Directive"))][0] == "32016L0679"

@@ -394,3 +394,12 @@ def test_texts_of_one_form_are_matched_once_and_read_with_their_own_numbers():
     ]
     that = "{} (EU) 2016/679 and Article 4 of that Regulation"
     assert [r["celex"] for r in g.extract(that.format("Regulation"))] == ["32016R0679", "32016R0679"] and [r["celex"] for r in g.extract(that.format("Directive"))][0] == "32016L0679"
+
+
+def test_html_elements_reads_the_references_that_its_sql_reads(spark, tmp_path):
+    from legalspark.plans import queries as Q
+
+    titles = ["a&amp", "b = &quot;c", "it&#39;s &amp; more", "&amp;amp;  d"]
+    spark.createDataFrame([(k, f"<html><head><title>{t}</title></head><p>x</p><ul><li>y</ul></html>") for k, t in enumerate(titles)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.title, r.li, r.a, r.p) for r in Q.queries()["html_elements"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("a&amp", 1, 0, 1), 1: ("b = &quot;c", 1, 0, 1), 2: ("it's & more", 1, 0, 1), 3: ("&amp; d", 1, 0, 1)}
